@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import jump_shards, rule_ledger
+from sparkloom.llm import certified_packing, grammar_ids, jump_shards, rule_ledger, tokens
+from sparkloom.llm.common import shared_dir
 from sparkloom.session import table
 
 
@@ -17,6 +20,18 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.decided(failed, strict).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def op3_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written in the block format, then read back from the files."""
+    path = f"{shared_dir(spark)}/sparkloom-blocks-{uuid.uuid4().hex}"
+    grammar_ids.write_blocks(table(spark, sf_dir, "documents"), path, tokens.public_path())
+    return grammar_ids.read_documents(spark, path)
+
+
+def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    return certified_packing.pack(table(spark, sf_dir, "documents"), tokens.public_path(), capacity=2048)
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 of all documents, and the shard with one more."""
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), shards=16)

@@ -7,6 +7,8 @@ from sparkloom.llm import sql
 
 QUERIES = {
     "op2_rule_ledger": q.op2_rule_ledger,
+    "op3_grammar_ids": q.op3_grammar_ids,
+    "op9_certified_packing": q.op9_certified_packing,
     "op10_jump_shards": q.op10_jump_shards,
 }
 ORACLES = {
