@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import certified_packing, grammar_ids, jump_shards, rule_ledger, tokens
-from sparkloom.llm.common import shared_dir
+from sparkloom.llm import certified_packing, chat_layouts, grammar_ids, jump_shards, rule_ledger, secret_novelty, tokens
+from sparkloom.llm.common import shared_dir, written
 from sparkloom.session import table
 
 
@@ -27,6 +28,20 @@ def op3_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_ids.read_documents(spark, path)
 
 
+def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents."""
+    return secret_novelty.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, which are turn rows, and conversation -7, a record of messages; written, then read back."""
+    said = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    added = spark.createDataFrame([(-7, record)], "conv_id bigint, record string")
+    turns = chat_layouts.from_rows(table(spark, sf_dir, "conversations")).unionByName(chat_layouts.from_json(added))
+    return chat_layouts.digests(written(chat_layouts.formatted(turns), "chat"))
+
+
 def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     return certified_packing.pack(table(spark, sf_dir, "documents"), tokens.public_path(), capacity=2048)

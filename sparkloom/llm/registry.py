@@ -8,6 +8,8 @@ from sparkloom.llm import sql
 QUERIES = {
     "op2_rule_ledger": q.op2_rule_ledger,
     "op3_grammar_ids": q.op3_grammar_ids,
+    "op6_secret_novelty": q.op6_secret_novelty,
+    "op7_chat_layouts": q.op7_chat_layouts,
     "op9_certified_packing": q.op9_certified_packing,
     "op10_jump_shards": q.op10_jump_shards,
 }
