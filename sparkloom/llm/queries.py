@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import certified_packing, chat_layouts, grammar_ids, jump_shards, rule_ledger, secret_novelty, tokens
+from sparkloom.llm import certified_packing, chat_layouts, containment, grammar_ids, jump_shards, license_patience, rule_ledger, secret_novelty, tokens
 from sparkloom.llm.common import shared_dir, written
 from sparkloom.session import table
 
 
+def op1_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents."""
+    return license_patience.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of all documents; ``kept`` by the strict policy, which contains the base rules."""
     found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
@@ -42,6 +47,11 @@ def op7_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_layouts.digests(written(chat_layouts.formatted(turns), "chat"))
 
 
+def op8_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it contains."""
+    return containment.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     return certified_packing.pack(table(spark, sf_dir, "documents"), tokens.public_path(), capacity=2048)

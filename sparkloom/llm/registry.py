@@ -6,10 +6,12 @@ from sparkloom.llm import queries as q
 from sparkloom.llm import sql
 
 QUERIES = {
+    "op1_license_patience": q.op1_license_patience,
     "op2_rule_ledger": q.op2_rule_ledger,
     "op3_grammar_ids": q.op3_grammar_ids,
     "op6_secret_novelty": q.op6_secret_novelty,
     "op7_chat_layouts": q.op7_chat_layouts,
+    "op8_containment": q.op8_containment,
     "op9_certified_packing": q.op9_certified_packing,
     "op10_jump_shards": q.op10_jump_shards,
 }
