@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import certified_packing, chat_layouts, containment, grammar_ids, jump_shards, license_patience, rule_ledger, secret_novelty, tokens
+from sparkloom.llm import certified_packing, chat_layouts, containment, grammar_ids, jump_shards, license_patience, rule_ledger, secret_novelty, tokens, toxicity_chain
 from sparkloom.llm.common import shared_dir, written
 from sparkloom.session import table
 
@@ -33,6 +33,19 @@ def op3_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_ids.read_documents(spark, path)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity_chain.Chain:
+    """The chain over the label table: low quality first, since junk is seldom labelled toxic, then toxic."""
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    return toxicity_chain.train(docs, table(spark, sf_dir, "labels"), categories)
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all documents, and whether each is held toxic."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity_chain.score(docs, toxicity_model(spark, docs, sf_dir))
+    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all documents."""
     return secret_novelty.scan(table(spark, sf_dir, "documents"))

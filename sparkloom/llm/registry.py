@@ -9,6 +9,7 @@ QUERIES = {
     "op1_license_patience": q.op1_license_patience,
     "op2_rule_ledger": q.op2_rule_ledger,
     "op3_grammar_ids": q.op3_grammar_ids,
+    "op4_toxicity_chain": q.op4_toxicity_chain,
     "op6_secret_novelty": q.op6_secret_novelty,
     "op7_chat_layouts": q.op7_chat_layouts,
     "op8_containment": q.op8_containment,
