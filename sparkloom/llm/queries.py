@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import certified_packing, chat_layouts, containment, grammar_ids, jump_shards, license_patience, rule_ledger, secret_novelty, tokens, toxicity_chain
+from sparkloom.llm import certified_packing, chat_layouts, containment, grammar_ids, jump_shards, license_patience, odd_sketches, rule_ledger, secret_novelty, tokens, toxicity_chain
 from sparkloom.llm.common import shared_dir, written
 from sparkloom.session import table
 
@@ -46,6 +46,11 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a similarity of 0.75."""
+    return odd_sketches.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all documents."""
     return secret_novelty.scan(table(spark, sf_dir, "documents"))

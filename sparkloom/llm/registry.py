@@ -10,6 +10,7 @@ QUERIES = {
     "op2_rule_ledger": q.op2_rule_ledger,
     "op3_grammar_ids": q.op3_grammar_ids,
     "op4_toxicity_chain": q.op4_toxicity_chain,
+    "op5_odd_sketches": q.op5_odd_sketches,
     "op6_secret_novelty": q.op6_secret_novelty,
     "op7_chat_layouts": q.op7_chat_layouts,
     "op8_containment": q.op8_containment,
