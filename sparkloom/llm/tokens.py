@@ -22,22 +22,22 @@ class Encoder:
 
     A byte-level BPE with the usual split pattern never joins what lies before and after a lone space
     or a lone line end: a space begins a piece of its own, a line end is one. So such texts
-    are cut there and their pieces, which repeat across texts, are kept. Texts with two white space
-    characters in a row or a NUL, and tokenizers of another kind, are encoded whole. At
+    are cut there and their pieces, which repeat across texts, are kept; a piece of letters, which the split pattern
+    leaves whole, goes to the tokenizer's model directly. Texts with two white space
+    characters in a row, and tokenizers of another kind, are encoded whole. At
     most ``most`` pieces are kept, in two halves: the older half goes first.
     """
 
-    TOGETHER = re.compile(r"\s\s|\x00")
+    TOGETHER = re.compile(r"\s\s")
     LONG = 64
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
-        self.most, self.old = most, {}
-        self.new = _Pieces(self)
         rules = json.loads(self.tokenizer.to_str())
         before, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens") or []
         self.cuts = (
@@ -45,40 +45,81 @@ class Encoder:
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space")
-            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in added)
+            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) or x["content"].isalpha() for x in added)
         )
+        self.most = most
+        self.line_end = self.whole("\n")
+        self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def letters(self, piece: str) -> bytes:
+        """Ids of letters after at most one space: one piece of the split pattern."""
+        raw = piece.encode().decode("latin-1").translate(BYTE_NAMES)
+        return np.array([x.id for x in self.model.tokenize(raw)], self.kind).tobytes()
+
     def packed(self, text: str | None) -> bytes:
         """Ids as little-endian numbers of ``kind``; null has none."""
         if not text:
             return b""
         if not self.cuts or self.TOGETHER.search(text):
             return self.whole(text)
-        out = b"".join(map(self.new.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
-        if len(self.new) > self.most // 2:
-            self.old, self.new = self.new, _Pieces(self)
+        first, *rest = text.split(" ")
+        out = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        for x in (self.spaced, self.bare):
+            if len(x) > self.most // 2:
+                x.turn()
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.kind)
 
 
+def byte_names() -> dict[int, int]:
+    """How a byte-level BPE names bytes: printable ones of Latin-1 by themselves, the others by the letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_NAMES = byte_names()
+
+
 class _Pieces(dict):
-    def __init__(self, owner: Encoder):
+    """Ids of pieces that follow ``lead``."""
+
+    def __init__(self, owner: Encoder, lead: str):
         super().__init__()
-        self.owner = owner
+        self.owner, self.lead, self.old = owner, lead, {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.owner.old.get(piece)
+        found = self.old.get(piece)
         if found is None:
-            found = self.owner.whole(piece)
-        if len(piece) <= Encoder.LONG:
+            found = self.encoded(piece)
+        if len(piece) <= Encoder.LONG and "\n" not in piece:
             self[piece] = found
         return found
 
+    def encoded(self, piece: str) -> bytes:
+        owner = self.owner
+        if "\n" in piece:
+            head, *tail = piece.split("\n")
+            return self[head] + b"".join(owner.line_end + owner.bare[x] for x in tail)
+        if piece.isalpha():
+            return owner.letters(self.lead + piece)
+        head = piece.rstrip(MARKS)
+        if head and head != piece and head.isalpha():  # letters, then marks: two pieces of the split pattern
+            return self[head] + owner.bare[piece[len(head) :]]
+        return owner.whole(self.lead + piece) if self.lead or piece else b""
+
+
+#: Marks that follow words; none is a letter, a digit or white space.
+MARKS = ".,;:!?*%&#$|"
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
