@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sparkloom.plans import answers, audit, indexing, registry, web
+
+MODULES = (answers, audit, indexing, web)
+QUERIES: dict = registry.QUERIES
+ORACLES: dict = registry.ORACLES
