@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import vectors
+from sparkloom.session import cut
 
 #: Fixed texts.
 NO_CONTEXT = "No relevant information found in the knowledge base."
@@ -112,31 +113,34 @@ def answer(questions: DataFrame, children: DataFrame, parents: DataFrame, genera
     """Answers to ``questions`` (``qid``, ``question``, ``history``): one row each, with every grade and counter."""
     state = questions.select("qid", "question", "history")
     raw = generated(F.concat(F.lit("DOMAIN?\n"), F.col("question")), generate) if flow.domain else F.lit("in_domain")
-    state = state.withColumn("domain_check", domain_of(raw))
+    # Model calls are made once: each stage that has one ends in a checkpoint.
+    state = cut(state.withColumn("domain_check", domain_of(raw)))
     asked = state.where("domain_check = 'in_domain'")
     if flow.rewrite:
         prompt = F.when(F.coalesce("history", F.lit("")) != "", F.concat(F.lit("REWRITE\n"), "history", F.lit("\n"), "question"))
         asked = asked.withColumn("rewritten_question", F.coalesce(generated(prompt, generate), "question"))
     else:
         asked = asked.withColumn("rewritten_question", F.col("question"))
-    docs = retrieved(asked, children, parents, "rewritten_question", rerank, threshold=True)
+    asked = cut(asked)
+    docs = cut(retrieved(asked, children, parents, "rewritten_question", rerank, threshold=True))
     asked = asked.withColumns({"retrieval_grade": F.lit("relevant"), "retrieval_retry_count": F.lit(0)})
     if flow.grading:
         for k in range(flow.retries + 1):
-            docs, asked = graded(asked, docs, generate, k, flow.retries, children, parents, rerank)
+            docs, asked = (cut(x) for x in graded(asked, docs, generate, k, flow.retries, children, parents, rerank))
     gathered = vectors.context(docs, most=None).withColumnRenamed("context", "_whole")
     asked = asked.join(gathered, "qid", "left").withColumn("_context", F.coalesce(F.substring("_whole", 1, vectors.CONTEXT_CHARS), F.lit(NO_CONTEXT)))
     say = lambda head, context: F.concat(F.lit(f"{head}\nCONTEXT:\n"), context, F.lit("\n\nQUESTION:\n"), F.col("rewritten_question"), F.lit("\n\nANSWER:"))
-    asked = asked.withColumn("answer", F.coalesce(generated(say("ANSWER", F.col("_context")), generate), F.lit(FAILED)))
+    asked = cut(asked.withColumn("answer", F.coalesce(generated(say("ANSWER", F.col("_context")), generate), F.lit(FAILED))))
     asked = asked.withColumns({"hallucination_grade": F.lit("grounded"), "hallucination_retry_count": F.lit(0)})
     if flow.checking:
         check = lambda: hallucination_of(generated(F.when(F.col("_whole").isNotNull(), F.concat(F.lit("GROUNDED?\n"), "_whole", F.lit("\n"), "answer")), generate))
-        asked = asked.withColumn("hallucination_grade", check())
+        asked = cut(asked.withColumn("hallucination_grade", check()))
         for _ in range(flow.regenerations):
             again = route_after_check(F.col("hallucination_grade"), F.col("hallucination_retry_count"), flow.regenerations) == "regenerate"
-            redone = generated(F.when(again, say("STRICT ANSWER", F.col("_whole"))), generate)
-            asked = asked.withColumn("_again", again).withColumn("answer", F.when(F.col("_again"), F.coalesce(redone, F.lit(FAILED))).otherwise(F.col("answer")))
+            redone = generated(F.when(F.col("_again"), say("STRICT ANSWER", F.col("_whole"))), generate)
+            asked = cut(asked.withColumn("_again", again)).withColumn("answer", F.when(F.col("_again"), F.coalesce(redone, F.lit(FAILED))).otherwise(F.col("answer")))
             asked = asked.withColumn("hallucination_retry_count", F.col("hallucination_retry_count") + F.col("_again").cast("int")).withColumn("hallucination_grade", F.when(F.col("_again"), check()).otherwise(F.col("hallucination_grade"))).drop("_again")
+            asked = cut(asked)
     columns = ["qid", "question", "rewritten_question", "domain_check", "retrieval_grade", "retrieval_retry_count", "hallucination_grade", "hallucination_retry_count", "answer"]
     turned = state.where("domain_check = 'out_of_domain'").withColumns({"rewritten_question": F.col("question"), "retrieval_grade": F.lit(None).cast("string"), "retrieval_retry_count": F.lit(0), "hallucination_grade": F.lit(None).cast("string"), "hallucination_retry_count": F.lit(0), "answer": F.lit(OUT_OF_DOMAIN)})
     return asked.select(columns).unionByName(turned.select(columns))
@@ -146,15 +150,18 @@ def graded(asked: DataFrame, docs: DataFrame, generate: Generator, k: int, retri
     """One grading round, and a new search (without the cut) for questions of which nothing was relevant, as long as rounds are left."""
     texts = docs.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda v: v.text).alias("texts"))
     told = asked.join(texts, "qid", "left").withColumn("n_docs", F.coalesce(F.size("texts"), F.lit(0)))
-    told = told.withColumn("raw", generated(F.when(F.col("n_docs") > 0, grading_prompt(F.col("texts"), F.col("rewritten_question"))), generate))
+    told = cut(told.withColumn("raw", generated(F.when(F.col("n_docs") > 0, grading_prompt(F.col("texts"), F.col("rewritten_question"))), generate)))
     kept = grades(told, "raw", "n_docs").withColumnRenamed("place", "new_place")
     left = docs.withColumn("doc", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).join(kept, ["qid", "doc"]).select("qid", F.col("new_place").alias("place"), "score", "text")
+    left = cut(left)
+    left = cut(left)
     some = left.select("qid").distinct().withColumn("_some", F.lit(True))
     asked = told.drop("texts", "n_docs", "raw").join(some, "qid", "left").withColumn("retrieval_grade", F.when(F.col("_some"), "relevant").otherwise("not_relevant")).drop("_some")
     if k == retries:
         return left, asked
     again = route_after_grading(F.col("retrieval_grade"), F.col("retrieval_retry_count"), retries) == "retry"
-    failed = asked.where(again).withColumn("rewritten_question", F.coalesce(generated(F.concat(F.lit("RETRY\n"), "question"), generate), "question"))
+    asked = cut(asked)
+    failed = cut(asked.where(again).withColumn("rewritten_question", F.coalesce(generated(F.concat(F.lit("RETRY\n"), "question"), generate), "question")))
     fresh = retrieved(failed, children, parents, "rewritten_question", rerank, threshold=False)
     redone = failed.withColumn("retrieval_retry_count", F.col("retrieval_retry_count") + 1)
     return left.unionByName(fresh), asked.where(~again).unionByName(redone)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -48,5 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the folder that all executors share; a folder of our own only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            found = tempfile.mkdtemp(prefix="sparkloom-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return df.checkpoint()
+
+
 def default_dir() -> str:
     return os.environ.get("SPARKLOOM_SMOKE_DIR", "/root/testdata/sf0.001")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import html, urls
 from sparkloom.functions import text as t
 from sparkloom.operators import dedup
+from sparkloom.session import cut
 
 
 def links(pages: DataFrame, site: urls.Site = urls.Site(), keep: list[str] | None = None) -> DataFrame:
@@ -44,13 +45,13 @@ def reach(pages: DataFrame, seeds: DataFrame, depth: int, site: urls.Site = urls
     edges = edges.join(pages.select(urls.canonical(F.col("url")).alias("dst")).distinct(), "dst", "left_semi")
     seen = seeds.select(urls.canonical(F.col("url")).alias("url"), F.lit(1).alias("level")).distinct()
     seen = seen.join(pages.select(urls.canonical(F.col("url")).alias("url")).distinct(), "url", "left_semi")
+    edges, seen = cut(edges), cut(seen)
     frontier = seen
-    checkpointed = pages.sparkSession.sparkContext.getCheckpointDir() is not None
     for level in range(2, depth + 1):
         near = frontier.select(F.col("url").alias("src")).join(edges, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = near.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level))
-        if checkpointed:
-            frontier = frontier.checkpoint()
+        frontier = cut(near.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -108,10 +109,10 @@ def courses(pages: DataFrame, found: DataFrame, depth: int = 3, order: str = "pa
 def acquire(pages: DataFrame, seeds: DataFrame, staff_root: str, order: str = "page_id", site: urls.Site = urls.Site(), pdfs: DataFrame | None = None) -> DataFrame:
     """All phases in their order, then the two deduplications: the first phase that has a page keeps it."""
     base = reach(pages, seeds, 4, site).select(F.col("url").alias("_canon"))
-    mined = links(pages.withColumn("_canon", urls.canonical(F.col("url"))).join(base, "_canon", "left_semi"), site)
-    wanted = staff_urls(staff_ids(pages, site), staff_root)
+    mined = cut(links(pages.withColumn("_canon", urls.canonical(F.col("url"))).join(base, "_canon", "left_semi"), site))
+    wanted = cut(staff_urls(staff_ids(pages, site), staff_root))
     parts = [crawled(pages, seeds, 4, order, site), structures(pages, mined, order), staff_homes(pages, wanted, order), staff_courses(pages, wanted, order, site), courses(pages, mined, 3, order, site)]
     if pdfs is not None:
         parts.append(pdfs.withColumn("ord", F.xxhash64("source")))
-    whole = dedup.phases(parts)
+    whole = cut(dedup.phases(parts))
     return dedup.content_dedup(dedup.url_dedup(whole, "place"), "place")
