@@ -34,7 +34,8 @@ def clean_restricted(raw: Column) -> Column:
 
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = frozenset(("script", "style", "noscript", "template", "header", "nav", "aside", "form", "button", "iframe", "svg"))
+CLOSING = frozenset("p div section article main ul ol table blockquote pre footer header nav aside form figure".split())
+DROPPED = frozenset(("script", "style", "title", "noscript", "template", "header", "nav", "aside", "form", "button", "iframe", "svg"))
 LINES = frozenset(("p", "div", "section", "article", "main", "ul", "ol", "blockquote", "pre", "hr", "br", "figure"))
 
 
@@ -58,8 +59,8 @@ class Cleaner(HTMLParser):
             if tag in ("br", "hr") and not self.hidden():
                 self.out.append("\n")
             return
-        if tag == "p" and self.open and self.open[-1][0] == "p":
-            self.handle_endtag("p")
+        if self.open and self.open[-1][0] == "p" and (tag in CLOSING or tag[0] == "h" and tag[1:].isdigit()):
+            self.handle_endtag("p")  # blocks end a paragraph that was left open
         at = dict(attrs)
         foot = tag == "footer" or tag == "div" and ((at.get("id") or "") in ("footer", "subfooter") or "footer" in (at.get("class") or ""))
         if foot and self.open:
