@@ -141,16 +141,20 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_id: s
     return out
 
 
+def free_of(sent) -> object:
+    """Function for columns: whether a text contains no item of a sent index."""
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            yield pd.Series([not sent.value.search(body) for body in x], dtype=bool)
+
+    return clean
+
+
 def cleaned(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", share: float = 0.75, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents that contain no item; columns as they were."""
     context = docs.sparkSession.sparkContext
     for index in indexes(items, item_id, text, share, block_bytes):
-        sent = context.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for x in parts:
-                yield pd.Series([not sent.value.search(body) for body in x], dtype=bool)
-
-        docs = docs.where(clean(F.col(text)))
+        docs = docs.where(free_of(context.broadcast(index))(F.col(text)))
     return docs
