@@ -83,24 +83,37 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted keys."""
+    at = np.searchsorted(keys, x)
+    return (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == x) if len(keys) else np.zeros(len(x), bool)
+
+
 class Rows:
-    """Distinct features of each training text: places into ``keys``, row after row."""
+    """Distinct features of each training text: places into ``keys``, row after row. Features of fewer than ``least`` texts are left out."""
 
-    def __init__(self, texts: list[str | None]):
-        known: dict[str, list[int]] = {}
+    def __init__(self, texts: list[str | None], least: int = 3):
         parts = []
+        known: dict[str, np.ndarray] = {}
         for text in texts:
             text = text or ""
-            own: set[int] = set(texture(text))
+            own = [np.array(texture(text), np.uint64)]
             for w in set(text.lower().split()):
                 if (f := known.get(w)) is None:
-                    f = known[w] = word_features(w)
-                own.update(f)
-            parts.append(np.fromiter(own, np.uint64, len(own)))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.row = np.repeat(np.arange(len(parts)), sizes)
-        self.keys, self.at = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_inverse=True)
+                    f = np.array(word_features(w), np.uint64)
+                    if len(known) < 100_000:
+                        known[w] = f
+                own.append(f)
+            parts.append(np.unique(np.concatenate(own)))
         self.n = len(parts)
+        every = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        every.sort()
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+        self.keys = every[starts][np.diff(np.append(starts, len(every))) >= least]
+        del every
+        found = [np.flatnonzero(member(p, self.keys)) for p in parts]
+        self.row = np.repeat(np.arange(self.n), [len(f) for f in found])
+        self.at = np.concatenate([np.searchsorted(self.keys, p[f]) for p, f in zip(parts, found, strict=True)]) if parts else np.empty(0, np.int64)
 
     def selected(self, y: np.ndarray, use: np.ndarray, most: int, least: int) -> np.ndarray:
         """Features most associated with the label (chi-square) on the rows in use."""
@@ -166,7 +179,7 @@ def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], folds: int
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", sample: int = 12_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", sample: int = 8_000) -> Chain:
     """Fit on at most ``sample`` labelled rows. ``categories``: conditions on the columns of ``labels``, in chain order."""
     known = labels.select(F.col(id_col).alias("label_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
     drawn = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
