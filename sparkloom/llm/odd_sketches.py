@@ -9,11 +9,13 @@ Two documents are linked if their sets of distinct five-word shingles have a Jac
    against the sketches and the size bound; what may reach ``share`` is confirmed on the full sets.
 4. Confirmed links are joined to components. Buckets that still hold several components have their other pairs compared
    too, in tasks of at most two ``block`` s of members: sizes and sketches are read there, and only pairs of different components
-   that may reach ``share`` come out. They are confirmed as before and the components are joined again.
+   that may reach ``share`` come out. They are confirmed as before and the components are joined again. This is done three times: with the
+   most similar pairs that span a bucket, which join what is one component, in an eighth of the buckets, since groups meet in many; with those of all
+   buckets; then with all pairs that are left.
 
 No pair is left out by a cap: large buckets are split into pairs of blocks. Only links inside a component that is already joined are
 not looked for, as they change nothing. A pair at the threshold shares no band with a probability under
-1e-7, and less above it; the sketch bound lies six standard deviations out.
+1e-7, and less above it; the sketch bound lies five standard deviations out.
 
 Defined results. Null and empty texts have an empty set, no links, and are their own component; fewer than five words are one shingle. A row
 with a null id is linked with nothing: its component is null and it is kept. Rows of one id are one document, linked by what either holds.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import shingle_hashes, spread, words, written
 
-BANDS, ROWS, SAMPLES, BITS = 30, 3, 192, 2048
+BANDS, ROWS, SAMPLES, BITS = 30, 3, 384, 4096
 FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
 #: Ids that are sent to all executors at once, 8 bytes each; beyond it ids are joined by a shuffle.
 SENT_IDS = 500_000
@@ -69,9 +71,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def most_differing(share: float) -> int:
-    """The most differing bits of a pair at the threshold, six standard deviations out for the samples and three for the bitmap."""
+    """The most differing bits of a pair at the threshold, five standard deviations out for the samples and three for the bitmap."""
     p = 1 - share
-    flips = 2 * (SAMPLES * p + 6 * np.sqrt(SAMPLES * p * (1 - p)))
+    flips = 2 * (SAMPLES * p + 5 * np.sqrt(SAMPLES * p * (1 - p)))
     mean = BITS / 2 * (1 - np.exp(-2 * flips / BITS))
     return int(mean + 3 * np.sqrt(flips * flips / BITS / 2 + 1)) + 1
 
@@ -161,7 +163,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
         edges = written(small, "edges")
@@ -191,10 +193,11 @@ def cells(members: DataFrame, block: int) -> DataFrame:
     return found.withColumn("cell", F.explode(dealt)).select("key", "doc_id", "component", "n_shingles", "sketch", "major", "spot", "cell.kind", "cell.lo", "cell.hi")
 
 
-def across(members: DataFrame, share: float, block: int = 2048) -> DataFrame:
+def across(members: DataFrame, share: float, block: int = 1024, mode: str = "all") -> DataFrame:
     """Pairs of different components inside a bucket that sizes and sketches let through.
 
     ``members``: ``key``, ``doc_id``, ``component``, ``n_shingles``, ``sketch``, ``major``, and ``n_major`` and ``n_rest``, the blocks of its bucket.
+    ``mode``: ``all`` pairs, or those of a ``forest`` of least differing bits.
     """
     bound, keys = most_differing(share), ["key", "kind", "lo", "hi"]
 
@@ -230,29 +233,71 @@ def across(members: DataFrame, share: float, block: int = 2048) -> DataFrame:
         ids, comp, n, spots, major = (x[k].to_numpy() for k in ("doc_id", "component", "n_shingles", "spot", "major"))
         kind, lo, hi = (x[k].iloc[0] for k in keys[1:])
         bits = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
-        for i in range(len(x) - 1):
-            rest = slice(i + 1, len(x))
-            ok = (comp[rest] != comp[i]) & (np.minimum(n[rest], n[i]) >= share * np.maximum(n[rest], n[i]))
+        far = BITS + 1
+
+        def differing(i: int) -> np.ndarray:
+            """Bits in which each member differs from the i-th; 0 in its component, ``far`` where the pair is not open."""
+            ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= share * np.maximum(n, n[i]))
             if kind == 0:
-                ok &= major[rest] != major[i]
+                ok &= major != major[i]
             elif kind == 1 and lo != hi:
-                ok &= spots[rest] != spots[i]
-            here = np.flatnonzero(ok) + i + 1
+                ok &= spots != spots[i]
+            out = np.where(comp == comp[i], 0, far)
+            here = np.flatnonzero(ok)
             if len(here):
-                here = here[np.bitwise_count(bits[here] ^ bits[i]).sum(axis=1, dtype=np.int32) <= bound]
+                found = np.bitwise_count(bits[here] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                out[here] = np.where(found <= bound, np.maximum(found, 1), far)
+            return out
+
+        def made(u, v) -> tuple[np.ndarray, np.ndarray]:
+            u, v = ids[np.asarray(u)], ids[np.asarray(v)]
+            return np.minimum(u, v), np.maximum(u, v)
+
+        if mode == "forest":
+            best, via, outside = np.full(len(x), far), np.full(len(x), -1), np.ones(len(x), bool)
+            us, vs = [], []
+            missing = set(comp.tolist())  # once a member of each component is in, no further edge is wanted
+            while missing:
+                u = int(np.where(outside, best, far + 1).argmin())
+                outside[u] = False
+                missing.discard(int(comp[u]))
+                if 0 < best[u] < far:
+                    us.append(u)
+                    vs.append(via[u])
+                d = differing(u)
+                closer = d < best
+                best, via = np.where(closer, d, best), np.where(closer, u, via)
+            if us:
+                yield made(us, vs)
+            return
+        for i in range(len(x)):
+            d = differing(i)
+            d[: i + 1] = far
+            here = np.flatnonzero((d > 0) & (d < far))
             if len(here):
-                yield np.minimum(ids[here], ids[i]), np.maximum(ids[here], ids[i])
+                yield made(np.full(len(here), i), here)
 
     return cells(members, block).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", text: str = "text", block: int = 2048) -> DataFrame:
+def still_open(shared: DataFrame, joined: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """Members of buckets of three or more that hold several components. The center is left out: its pairs are done."""
+    placed = shared.where("n > 2 AND doc_id <> center").select("key", "doc_id").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = written(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n_major"), F.sum("n").alias("n")).where("n > n_major")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    several = several.select("key", "largest", blocks(F.col("n_major")).alias("n_major"), blocks(F.col("n") - F.col("n_major")).alias("n_rest"))
+    return placed.join(several, "key").withColumn("major", F.col("component") == F.col("largest")).join(sketches, "doc_id")
+
+
+def near_duplicates(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", text: str = "text", block: int = 1024) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(features(docs), "features")
     several = found.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Rows without a set or an id keep a null digest and match no class.
-    classed = found.join(several, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    classed = found.join(several, "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     classed = written(classed.select("doc_id", "n_shingles", "rep", F.when(F.col("rep") == F.col("doc_id"), F.col("bands")).alias("bands"), F.when(F.col("rep") == F.col("doc_id"), F.col("sketch")).alias("sketch")), "classed")
     own = classed.where("bands IS NOT NULL").select("doc_id", "n_shingles", "sketch", "bands")
 
@@ -267,17 +312,14 @@ def near_duplicates(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id"
     links = written(confirmed(likely, docs, share).union(given), "links")
     joined = written(components(links), "components")
 
-    # Buckets of three or more members, not all in one component: pairs without the center are still open there.
-    placed = shared.where("n > 2 AND doc_id <> center").select("key", "doc_id").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_ones = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n_major"), F.sum("n").alias("n")).where("n > n_major")
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    open_ones = open_ones.select("key", "largest", blocks(F.col("n_major")).alias("n_major"), blocks(F.col("n") - F.col("n_major")).alias("n_rest"))
     sketches = own.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id", "sketch"])
-    members = placed.join(open_ones, "key").withColumn("major", F.col("component") == F.col("largest")).join(sketches, "doc_id")
-    more = written(across(members, share, block), "across")
-    if more.limit(1).count():
+    checked = likely
+    eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
+    for mode, part in (("forest", shared.where(eighth)), ("forest", shared), ("all", shared)):
+        more = written(across(still_open(part, joined, sketches, block), share, block, mode).join(checked, ["a", "b"], "left_anti"), "across")
+        if not more.limit(1).count():
+            continue
+        checked = checked.union(more)
         links = written(links.union(confirmed(more, docs, share)), "links")
         joined = written(components(links), "components")
 
