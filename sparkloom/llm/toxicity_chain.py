@@ -16,6 +16,7 @@ give empty results. ``score`` leaves extra columns out, ``cleaned`` keeps them.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -183,10 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """Fit on at most ``sample`` labelled rows. ``categories``: conditions on the columns of ``labels``, in chain order."""
     known = labels.select(F.col(id_col).alias("label_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
     drawn = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    # The drawn rows are bounded by ``sample``; so is what repeated ids may add.
-    found = docs.select(F.col(id_col).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "label_id").limit(2 * sample).toPandas()
-    found = found.sort_values("label_id", kind="stable") if len(found) else found
-    return fit_chain(found["text"].tolist(), {k: found[f"y{i}"].to_numpy() for i, k in enumerate(categories)})
+    # The drawn rows are bounded by ``sample``; so is what repeated ids may add. They fit one task, whose model alone comes to the driver.
+    names = list(categories)
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "label_id").limit(2 * sample)
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.concat([x for x in parts if len(x)] or [pd.DataFrame(columns=["label_id", "text", *[f"y{i}" for i in range(len(names))]])])
+        found = found.sort_values(["label_id", "text"], kind="stable")
+        chain = fit_chain(found["text"].tolist(), {k: found[f"y{i}"].to_numpy(float) for i, k in enumerate(names)})
+        yield pd.DataFrame({"model": [pickle.dumps(chain)], "n": [len(found)]})
+
+    made = rows.coalesce(1).mapInPandas(fit, "model binary, n long").collect()
+    return pickle.loads(made[0].model) if made else fit_chain([], {k: np.empty(0) for k in names})
 
 
 class Scorer:
