@@ -38,6 +38,28 @@ def embedded(rows: DataFrame, text: str = "text", embed: Callable[[str | None],
     return rows.withColumn(name, run(F.col(text)))
 
 
+class Best:
+    """The k best of each of n queries so far: higher scores first, ties by id, NaN last."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.at, self.s, self.v = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of all queries (rows) and some ids (columns). What lies below a query's k-th best, here or so far, is not sorted."""
+        floor, n = self.floor, s.shape[1]
+        if n > self.k and np.isinf(floor).any():
+            floor = np.fmax(floor, np.partition(s, n - self.k, axis=1)[:, n - self.k])
+        q, c = np.nonzero(~(s < floor[:, None]))
+        at, s, v = np.concatenate([self.at, q]), np.concatenate([self.s, s[q, c]]), np.concatenate([self.v, ids[c]])
+        order = np.lexsort((v, -s, at))
+        at, s, v = at[order], s[order], v[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last, kept = (place == self.k - 1) & ~np.isnan(s), place < self.k
+        self.floor[at[last]] = s[last]
+        self.at, self.s, self.v = at[kept], s[kept], v[kept]
+
+
 def similar(queries: DataFrame, vectors: DataFrame, k: int = TOP_CHILDREN, qid: str = "qid", vid: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k most similar vectors of each query by inner product: ``qid``, ``vec_id``, ``score``, ``rank`` from 1, ties by id.
 
@@ -55,17 +77,12 @@ def similar(queries: DataFrame, vectors: DataFrame, k: int = TOP_CHILDREN, qid:
 
         def search(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, matrix = sent.value
-            best_s, best_v = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            best = Best(len(ids), k)
             for x in parts:
                 for i in range(0, len(x), 2048):
                     part = x.iloc[i : i + 2048]
-                    s = np.round(matrix @ np.array(part["v"].tolist(), np.float64).T, PLACES)
-                    s = np.concatenate([best_s, s], axis=1)
-                    v = np.concatenate([best_v, np.broadcast_to(part["vec_id"].to_numpy(np.int64), (len(ids), len(part)))], axis=1)
-                    order = np.lexsort((v, -s), axis=1)[:, :k]
-                    best_s, best_v = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
-            n = best_s.shape[1]
-            yield pd.DataFrame({"qid": np.repeat(ids, n), "vec_id": best_v.ravel(), "score": best_s.ravel()})
+                    best.add(np.round(matrix @ np.array(part["v"].tolist(), np.float64).T, PLACES), part["vec_id"].to_numpy(np.int64))
+            yield pd.DataFrame({"qid": ids[best.at], "vec_id": best.v, "score": best.s})
 
         made = vectors.select(F.col(vid).cast("long").alias("vec_id"), F.col(column).alias("v")).where("v IS NOT NULL").mapInPandas(search, "qid bigint, vec_id bigint, score double")
         found = made if found is None else found.unionByName(made)

@@ -9,6 +9,7 @@ from sparkloom.plans import flow
 from sparkloom.plans.registry import query
 from sparkloom.session import table
 
+#: The SQL lists the hits of the first vectors only; ``hits`` has them among those of all vectors.
 N_QUERIES = 25
 KNN = f"""q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id < {N_QUERIES}),
 s AS (SELECT qid, vec_id, round(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score, label FROM q, embeddings v),
@@ -16,14 +17,14 @@ h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)
 
 
 def hits(spark, sf, k: int = 20):
+    """Every vector is a query, held against all vectors."""
     vecs = table(spark, sf, "embeddings")
-    queries = vecs.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), "embedding")
+    queries = vecs.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("qid"), "embedding")
     return vectors.similar(queries, vecs, k)
 
 
 @query("knn_top20", f"WITH {KNN} SELECT qid, vec_id, score, CAST(rank AS INT) AS rank FROM h")
 def knn_top20(spark, sf):
-    """The vectors with the smallest ids are the queries: a fixed set of questions, held against all vectors."""
     return hits(spark, sf)
 
 
