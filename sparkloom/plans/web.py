@@ -152,13 +152,13 @@ def section_breadcrumb(spark, sf):
 
 @query("bfs_reach")
 def bfs_reach(spark, sf):
-    """Pages within four levels of the first ten; links of the snapshot lead to paths of the same host."""
+    """Pages within four levels of all pages: every page is a seed, so what links reach is reached at level 1 already."""
     pages = table(spark, sf, "pages")
-    return crawl.reach(pages, pages.where("page_id < 10").select("url"), 4)
+    return crawl.reach(pages, pages.select("url"), 4)
 
 
 @query("acquire")
 def acquire(spark, sf):
-    """All crawl phases from the first ten pages, deduplicated."""
+    """All crawl phases from all pages, deduplicated."""
     pages = table(spark, sf, "pages")
-    return crawl.acquire(pages, pages.where("page_id < 10").select("url"), "https://staff.example").select("source", "type", "phase", F.length("text").alias("length"))
+    return crawl.acquire(pages, pages.select("url"), "https://staff.example").select("source", "type", "phase", F.length("text").alias("length"))

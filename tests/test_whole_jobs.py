@@ -7,6 +7,7 @@ import pytest
 from sparkloom import catalog
 from sparkloom.operators import vectors
 from sparkloom.session import table
+from sparkloom.sources import crawl
 
 
 def sql_rows(sf_dir, name):
@@ -40,3 +41,25 @@ def test_best_keeps_ties_by_id():
     for q in range(6):
         want = sorted(zip(-s[q], ids, strict=True))[:7]
         assert list(zip(-best.s[best.at == q], best.v[best.at == q], strict=True)) == want
+
+
+# ---- crawls
+
+
+def linked_pages(spark, n=30):
+    """Page i links to page i + 1; every text is its own."""
+    rows = [(i, f"http://a.it/p{i}x", f"<a href='/p{i + 1}x'>next</a><p>{f'word{i} ' * 40}</p>") for i in range(n)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_crawls_start_from_all_pages(spark, tmp_path):
+    linked_pages(spark).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.url for r in catalog.QUERIES["bfs_reach"](spark, str(tmp_path)).collect()} == {f"https://a.it/p{i}x" for i in range(30)}
+    got = catalog.QUERIES["acquire"](spark, str(tmp_path)).collect()
+    assert sorted(r.source for r in got) == sorted(f"http://a.it/p{i}x" for i in range(30))
+
+
+def test_reach_goes_on_by_levels(spark):
+    pages = linked_pages(spark)
+    found = crawl.reach(pages, pages.where("page_id IN (3, 20)").select("url"), 4)
+    assert {r.url: r.level for r in found.collect()} == {f"https://a.it/p{s + k}x": k + 1 for s in (3, 20) for k in range(4)}
