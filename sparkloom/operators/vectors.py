@@ -60,19 +60,23 @@ class Best:
         self.at, self.s, self.v = at[kept], s[kept], v[kept]
 
 
+def query_blocks(held: DataFrame) -> Iterator[list]:
+    """All rows of ``held``, in blocks by the hash of ``qid``."""
+    blocks = max(1, -(-held.count() // (QUERY_BLOCK // 2)))
+    for b in range(blocks):
+        rows = held.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+        if rows:
+            yield rows
+
+
 def similar(queries: DataFrame, vectors: DataFrame, k: int = TOP_CHILDREN, qid: str = "qid", vid: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k most similar vectors of each query by inner product: ``qid``, ``vec_id``, ``score``, ``rank`` from 1, ties by id.
 
     Queries are taken in blocks of at most ``QUERY_BLOCK``, each sent whole; a task multiplies its vectors with the block and keeps its own k best a query, so what is shuffled is k rows a query and task.
     """
     spark = queries.sparkSession
-    held = queries.select(F.col(qid).alias("qid"), F.col(column).alias("q"))
-    blocks = max(1, -(-held.count() // (QUERY_BLOCK // 2)))
     found = None
-    for b in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
+    for rows in query_blocks(queries.select(F.col(qid).alias("qid"), F.col(column).alias("q"))):
         sent = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), np.array([r.q for r in rows], np.float64)))
 
         def search(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -135,6 +139,48 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def lexical_best(questions: DataFrame, docs: DataFrame, k: int = TOP_PARENTS, qid: str = "qid", did: str = "doc_id", text: str = "text") -> DataFrame:
+    """The k documents of the highest ``lexical_score`` for each question, of all documents: ``qid``, ``doc_id``, ``score``, ``place`` from 1, ties by id.
+
+    Questions go in blocks as in ``similar``. A task counts the terms that a document shares with each question of a block by the questions that have the term. Texts that are null have null scores, which come last.
+    """
+    spark = questions.sparkSession
+    distinct = F.array_distinct(t.terms(F.col(text)))
+    told = docs.select(F.col(did).cast("long").alias("doc_id"), distinct.alias("b"))
+    found = None
+    for rows in query_blocks(questions.select(F.col(qid).cast("long").alias("qid"), distinct.alias("a"))):
+        having: dict[str, list[int]] = {}
+        for n, r in enumerate(rows):
+            for w in r.a or ():
+                having.setdefault(w, []).append(n)
+        sizes = np.array([np.nan if r.a is None else len(r.a) for r in rows])
+        sent = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), sizes, {w: np.array(x) for w, x in having.items()}))
+
+        def score(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, sizes, having = sent.value
+            best = Best(len(ids), k)
+            for x in parts:
+                for i in range(0, len(x), 1024):
+                    part = x.iloc[i : i + 1024]
+                    shared = np.zeros((len(part), len(ids)))
+                    lengths = np.full(len(part), np.nan)
+                    for n, words in enumerate(part["b"]):
+                        if words is None:
+                            continue
+                        lengths[n] = len(words)
+                        if hit := [having[w] for w in words if w in having]:
+                            shared[n] = np.bincount(np.concatenate(hit), minlength=len(ids))
+                    union = sizes + lengths[:, None] - shared
+                    best.add(np.divide(shared, union, out=np.zeros_like(shared), where=union != 0).T, part["doc_id"].to_numpy(np.int64))
+            yield pd.DataFrame({"qid": ids[best.at], "doc_id": best.v, "score": best.s})
+
+        made = told.mapInPandas(score, "qid bigint, doc_id bigint, score double")
+        found = made if found is None else found.unionByName(made)
+    if found is None:
+        return spark.createDataFrame([], "qid bigint, doc_id bigint, score double, place int")
+    return reranked(found, F.when(~F.isnan("score"), F.col("score")), k, order="doc_id")
+
+
 def reranked(pairs: DataFrame, score: Column, k: int = TOP_PARENTS, qid: str = "qid", order: str = "rank") -> DataFrame:
     """The k best of each query by score; ties keep their order."""
     place = Window.partitionBy(qid).orderBy(F.desc("score"), order)

@@ -48,7 +48,7 @@ def mmr_select(spark, sf):
 
 
 TERMS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
-#: Each question meets the documents that a label table covers and whose id leaves its own rest by the number of questions.
+#: In the SQL each question meets only the documents whose id leaves its own rest by the number of questions; ``ranked`` takes all.
 RANKED = f"""n AS (SELECT count(*) AS n FROM benchmark),
 p AS (SELECT b.item_id AS qid, d.doc_id, b.text AS q, d.text FROM benchmark b, n, documents d WHERE d.doc_id % n.n = b.item_id),
 t AS (SELECT qid, doc_id, text, {TERMS.format('q')} AS a, {TERMS.format('text')} AS b FROM p),
@@ -57,12 +57,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)
 
 
 def ranked(spark, sf):
-    """Pairs come from an equality on the id's rest, so they are a hash join; both tables are whole."""
-    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    n = items.agg(F.count("*").alias("n"))
-    dealt = docs.join(F.broadcast(n)).withColumn("qid", F.col("doc_id") % F.col("n")).select("qid", "doc_id", "text")
-    pairs = dealt.join(items.select(F.col("item_id").alias("qid"), F.col("text").alias("q")), "qid")
-    return vectors.reranked(pairs, vectors.lexical_score(F.col("q"), F.col("text")), order="doc_id")
+    """Every question against every document."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return vectors.lexical_best(items, table(spark, sf, "documents"))
 
 
 @query("rerank_lexical_top10", f"WITH {RANKED} SELECT qid, doc_id, score, CAST(place AS INT) AS place FROM k")
@@ -77,7 +74,8 @@ def adaptive_threshold(spark, sf):
 
 @query("context_concat", f"WITH {RANKED} SELECT qid, sha256(substr(string_agg(text, chr(10) || chr(10) ORDER BY place), 1, 3000)) AS hash FROM k GROUP BY qid")
 def context_concat(spark, sf):
-    return vectors.context(ranked(spark, sf)).select("qid", F.sha2("context", 256).alias("hash"))
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    return vectors.context(ranked(spark, sf).join(texts, "doc_id")).select("qid", F.sha2("context", 256).alias("hash"))
 
 
 SPOKEN = "t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant'))"

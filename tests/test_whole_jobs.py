@@ -1,5 +1,8 @@
 """Queries do the whole job: every row takes part, and rows that the SQL lists are among the results."""
 
+import hashlib
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -63,3 +66,38 @@ def test_reach_goes_on_by_levels(spark):
     pages = linked_pages(spark)
     found = crawl.reach(pages, pages.where("page_id IN (3, 20)").select("url"), 4)
     assert {r.url: r.level for r in found.collect()} == {f"https://a.it/p{s + k}x": k + 1 for s in (3, 20) for k in range(4)}
+
+
+# ---- reranking and merging
+
+
+def test_questions_meet_all_documents(spark, tmp_path):
+    docs = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 9))) for i in range(40)] + [(40, None), (41, ""), (42, "Alpha, beta; GAMMA alpha!")]
+    items = [(0, "w1 w2 w3"), (1, "alpha beta gamma"), (77, "w5 w6 \u00e9"), (78, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    want = {}
+    for q, a in items:
+        scored = [(-len(words(a) & words(t)) / (len(words(a) | words(t)) or 1), d) for d, t in docs if t is not None]
+        want |= {(q, p): (d, -s) for p, (s, d) in enumerate(sorted(scored)[:10], 1)}
+    rows = catalog.QUERIES["rerank_lexical_top10"](spark, str(tmp_path)).collect()
+    assert {(r.qid, r.place): (r.doc_id, r.score) for r in rows} == want
+    assert want[1, 1] == (42, 1.0)
+    texts = dict(docs)
+    context = {q: "\n\n".join(texts[want[q, p][0]] for p in range(1, 11))[:3000] for q, _ in items}
+    got = {r.qid: r.hash for r in catalog.QUERIES["context_concat"](spark, str(tmp_path)).collect()}
+    assert got == {q: hashlib.sha256(c.encode()).hexdigest() for q, c in context.items()}
+    cut = {(r.qid, r.doc_id) for r in catalog.QUERIES["adaptive_threshold"](spark, str(tmp_path)).collect()}
+    assert cut == {(q, d) for (q, _), (d, s) in want.items() if s >= max(0.3 * want[q, 1][1], 0.009)}
+
+
+def test_reranking_is_no_worse_than_the_sql(spark, sf_dir):
+    got = {(r.qid, r.place): r.score for r in catalog.QUERIES["rerank_lexical_top10"](spark, sf_dir).collect()}
+    assert all(got[q, place] >= score for q, _, score, place in sql_rows(sf_dir, "rerank_lexical_top10"))
+
+
+def test_every_document_is_merged(spark, sf_dir):
+    got = {tuple(r) for r in catalog.QUERIES["key_merge_upsert"](spark, sf_dir).collect()}
+    assert {r[0] for r in got} == {r.doc_id for r in table(spark, sf_dir, "documents").collect()}
+    assert set(sql_rows(sf_dir, "key_merge_upsert")) <= got
