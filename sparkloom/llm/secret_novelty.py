@@ -4,6 +4,9 @@ Base kinds are the three patterns. Beyond them, in a sensitive context each cand
 touches is measured: the bytes that it adds to a zstandard frame of its surroundings, primed with
 a dictionary of identifiers and code. A string that adds nearly as many bytes as random characters would is reported as ``novel``.
 
+A context is 64 characters on both sides of a sensitive word: a candidate starts there after the word, or ends there before it. From such a
+candidate the context goes on, in the same direction, through candidates on adjoining lines that only marks and blanks part from it. Candidates have 12 characters at least.
+
 Defined results. Null and empty text have no spans. Texts are scanned whole, and places count code points. Rows are independent: ties and
 repeats change nothing, an empty table gives an empty result. Other columns are left out.
 """
@@ -13,7 +16,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +33,8 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a context sensitive, and candidates near them.
 CONTEXT = re.compile(r"(?ai:password|passwd|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|signature)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-REST = re.compile(r"[A-Za-z0-9+/_=-]*")
+#: What may lie between candidates of adjoining lines: marks and blanks with a line end, also an escaped one.
+BREAK = re.compile(r"(?=[^\w+/=-]{0,63}[\r\n\\])[^\w+/=-]{1,64}")
 NEAR, AROUND = 64, 200
 #: Identifiers and code that candidates are held against.
 DICTIONARY = (
@@ -65,6 +71,37 @@ def novel(text: str, start: int, stop: int, ratio: float) -> bool:
     return marginal_bytes(around, found) >= ratio * len(found)
 
 
+def sensitive(text: str) -> list[tuple[int, int]]:
+    """Candidates in the context of a sensitive word, sorted. A word inside a run of candidate characters parts it in two."""
+    contexts = [m.span() for m in CONTEXT.finditer(text)]
+    if not contexts:
+        return []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    joined = [bool((m := BREAK.match(text, b)) and m.end() == a) for b, a in zip(ends, starts[1:], strict=False)]
+    found, after, before = set(), set(), set()
+    for c, d in contexts:
+        for k in range(bisect_right(ends, d), bisect_left(starts, d + NEAR)):
+            a, b = max(starts[k], d), ends[k]
+            if b - a >= 12:
+                found.add((a, b))
+                after.add(k)
+        for k in range(bisect_right(ends, c - NEAR), bisect_left(starts, c)):
+            a, b = starts[k], min(ends[k], c)
+            if b - a >= 12:
+                found.add((a, b))
+                before.add(k)
+    for k in range(len(joined)):
+        if joined[k] and k in after:
+            after.add(k + 1)
+            found.add(runs[k + 1])
+    for k in reversed(range(len(joined))):
+        if joined[k] and k + 1 in before:
+            before.add(k)
+            found.add(runs[k])
+    return sorted(found)
+
+
 def spans(text: str | None, ratio: float = 0.7) -> list[tuple[int, int, str]]:
     """All spans, by start and then kind as listed."""
     if not text:
@@ -77,17 +114,19 @@ def spans(text: str | None, ratio: float = 0.7) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         out += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    base, seen = sorted(out), set()
+    base, fresh = sorted(out), []
     if any(x in folded for x in ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature")):
-        for context in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, context.end(), min(len(text), context.end() + NEAR)):
-                a, b = m.span()
-                b = REST.match(text, b).end()  # the whole string, also past the near stretch
-                if (a, b) in seen or any(x < b and a < y for x, y, _ in base):
-                    continue
-                seen.add((a, b))
-                if novel(text, a, b, ratio):
-                    out.append((a, b, "novel"))
+        base_starts, base_reach = [x for x, *_ in base], list(accumulate((y for _, y, _ in base), max))
+        for a, b in sensitive(text):
+            at = bisect_left(base_starts, b)
+            if at and base_reach[at - 1] > a:
+                continue
+            if novel(text, a, b, ratio):
+                if fresh and a < fresh[-1][1]:
+                    fresh[-1] = (fresh[-1][0], max(b, fresh[-1][1]), "novel")
+                else:
+                    fresh.append((a, b, "novel"))
+        out += fresh
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
