@@ -2,7 +2,8 @@
 
 Base kinds are the three patterns. Beyond them, in a sensitive context each candidate string that no base span
 touches is measured: the bytes that it adds to a zstandard frame of its surroundings, primed with
-a dictionary of identifiers and code. A string that adds nearly as many bytes as random characters would is reported as ``novel``.
+a dictionary of ordinary long words, identifiers and code. A string that adds nearly as many bytes as random characters would is reported as
+``novel``, whatever its characters; so is a word, name or number of 12 characters or more that the dictionary does not shorten.
 
 A context is 64 characters on both sides of a sensitive word: a candidate starts there after the word, or ends there before it. From such a
 candidate the context goes on, in the same direction, through candidates on adjoining lines that only marks and blanks part from it. Candidates have 12 characters at least.
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.long_words import WORDS
+
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns; ASCII letters of the names in either case.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -36,8 +39,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: What may lie between candidates of adjoining lines: marks and blanks with a line end, also an escaped one.
 BREAK = re.compile(r"(?=[^\w+/=-]{0,63}[\r\n\\])[^\w+/=-]{1,64}")
 NEAR, AROUND = 64, 200
-#: Identifiers and code that candidates are held against.
+#: Ordinary long words, identifiers and code that candidates are held against.
 DICTIONARY = (
+    " ".join(WORDS.split()) + " "
     "def class return import from self None True False function const let var public private static void string int long "
     "bool char byte new null undefined async await export default require module package namespace include "
     "username user_id userId client_id clientId client_secret access_token refresh_token api_key apiKey secret_key secretKey private_key "
@@ -53,8 +57,14 @@ DICTIONARY = (
 def compressor():
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(DICTIONARY.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+    primed = zstandard.ZstdCompressionDict(DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    # What level 9 is for short inputs, with tables and a window that hold the whole dictionary: left alone, its size would choose a coarser search.
+    level = zstandard.ZstdCompressionParameters.from_level(9, source_size=512, dict_size=4096)
+    params = zstandard.ZstdCompressionParameters(
+        window_log=17, chain_log=17, hash_log=17, search_log=level.search_log, min_match=level.min_match, target_length=level.target_length, strategy=level.strategy,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    return zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
 
 
 def marginal_bytes(around: str, candidate: str) -> int:
@@ -65,8 +75,6 @@ def marginal_bytes(around: str, candidate: str) -> int:
 
 def novel(text: str, start: int, stop: int, ratio: float) -> bool:
     found = text[start:stop]
-    if not (re.search("[0-9]", found) and re.search("[A-Za-z]", found)):
-        return False
     around = text[max(0, start - AROUND) : start] + "\n" + text[stop : stop + AROUND] + "\n"
     return marginal_bytes(around, found) >= ratio * len(found)
 

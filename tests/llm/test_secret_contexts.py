@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import string
 
 import pytest
 
@@ -48,3 +49,18 @@ def test_whole_keys_of_many_lines(wire):
 def test_context_ends_with_the_lines():
     assert novel(f"bearer {KEY}\n{OTHER}\n{gap(90)}\n{OTHER[::-1]}") == [KEY, OTHER]
     assert novel(f"bearer {KEY}\n日本語の文\n{gap(60)}{OTHER}") == [KEY]
+
+
+@pytest.mark.parametrize("alphabet", [string.ascii_letters, string.ascii_lowercase, string.digits, string.ascii_letters + string.digits + "+/"])
+@pytest.mark.parametrize("n", [12, 16, 32])
+def test_random_strings_of_any_characters(alphabet, n):
+    made = random.Random(6)
+    # 16 digits or more are the base kind hex.
+    found = sum([s[:2] for s in secret_novelty.spans(f"bearer {x} here")] == [(7, 7 + n)] for x in ("".join(made.choices(alphabet, k=n)) for _ in range(100)))
+    assert found >= 90
+
+
+def test_ordinary_long_words():
+    words = "authentication Implementation infrastructure administrator communication documentation international understanding specification approximately Gesellschaft desarrolladores"
+    assert novel(" ".join(f"token {w}," for w in words.split())) == []
+    assert novel("token ---------------- aaaaaaaaaaaaaaaa") == []
