@@ -15,6 +15,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,10 +53,20 @@ def folded(text: str) -> list[str]:
 
 
 class Template:
-    def __init__(self, name: str, text: str):
+    """Words of a template, ``need`` of which must be matched. Hints occur in it more often than words may be missing, so each find matches one."""
+
+    def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, folded(text)
+        self.need = ceil(coverage * len(self.words) - 1e-9)
         counts = Counter(self.words)
-        self.seeds = {w: i for i, w in enumerate(self.words) if counts[w] == 1 and w not in COMMON}
+        self.hints: set[str] = set()
+        left = len(self.words) - self.need
+        for w in sorted(counts, key=lambda w: (w in COMMON, -len(w), w)):
+            if left < 0:
+                break
+            self.hints.add(w)
+            left -= counts[w]
+        self.seeds = [(w, i) for i, w in enumerate(self.words) if w in self.hints or (counts[w] == 1 and w not in COMMON)]
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,14 +118,12 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], coverage: float):
-        self.templates = [Template(name, text) for name, texts in sorted(templates.items()) for text in texts]
-        self.coverage = coverage
+        self.templates = [Template(name, text, coverage) for name, texts in sorted(templates.items()) for text in texts]
         self.by_seed: dict[str, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.templates):
-            for w, i in t.seeds.items():
+            for w, i in t.seeds:
                 self.by_seed.setdefault(w, []).append((k, i))
-        # A template at the coverage asked for has one of its three longest seeds, unless all three are among the words that it lacks.
-        self.hints = sorted({w for t in self.templates for w in (sorted(t.seeds, key=lambda w: (-len(w), w))[: max(1, int((1 - coverage) * len(t.words)) + 1)])})
+        self.hints = sorted({w for t in self.templates for w in t.hints})
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """Start, end (code points), license and coverage of each find, by start."""
@@ -141,7 +150,7 @@ class Scanner:
                 at = begin
                 lo, hi = max(0, begin - slack), min(len(found), begin + n + 2 * slack)
                 pairs = aligned(found[lo:hi], t.words)
-                if len(pairs) >= self.coverage * n:
+                if pairs and len(pairs) >= t.need:
                     hits.append((-len(pairs), -len(pairs) / n, t.name, spots[lo + pairs[0][0]][1], spots[lo + pairs[-1][0]][2]))
         out: list[tuple[int, int, str, float]] = []
         for _, share, name, a, b in sorted(hits):
