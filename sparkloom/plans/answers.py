@@ -118,8 +118,8 @@ def grade_parse(spark, sf):
 
 @query("domain_normalise", "SELECT doc_id, CASE WHEN contains(lower(trim(left(text, 80))), 'out') THEN 'out_of_domain' ELSE 'in_domain' END AS domain FROM documents")
 def domain_normalise(spark, sf):
-    """Openings of texts play raw model answers."""
-    return table(spark, sf, "documents").select("doc_id", flow.domain_of(F.substring("text", 1, 80)).alias("domain"))
+    """Whole texts play raw model answers; the SQL reads their first 80 characters."""
+    return table(spark, sf, "documents").select("doc_id", flow.domain_of(F.col("text")).alias("domain"))
 
 
 @query("hallucination_normalise", "SELECT doc_id, CASE WHEN contains(lower(CASE WHEN doc_id % 2 = 0 THEN ' Not Hallucinated' ELSE text END), 'hallucinated') THEN 'hallucinated' ELSE 'grounded' END AS grade FROM documents")

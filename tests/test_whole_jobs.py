@@ -101,3 +101,16 @@ def test_every_document_is_merged(spark, sf_dir):
     got = {tuple(r) for r in catalog.QUERIES["key_merge_upsert"](spark, sf_dir).collect()}
     assert {r[0] for r in got} == {r.doc_id for r in table(spark, sf_dir, "documents").collect()}
     assert set(sql_rows(sf_dir, "key_merge_upsert")) <= got
+
+
+# ---- domains
+
+
+def test_domains_of_whole_texts(spark, sf_dir, tmp_path):
+    rows = [(1, "x" * 200 + " OUT of it"), (2, "x" * 200), (3, None), (4, "out")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query = catalog.QUERIES["domain_normalise"]
+    assert {r.doc_id for r in query(spark, str(tmp_path)).collect() if r.domain == "out_of_domain"} == {1, 4}
+    got = dict(tuple(r) for r in query(spark, sf_dir).collect())
+    known = dict(sql_rows(sf_dir, "domain_normalise"))
+    assert got.keys() == known.keys() and all(got[k] == d for k, d in known.items() if d == "out_of_domain")
