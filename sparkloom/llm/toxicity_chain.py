@@ -2,7 +2,7 @@
 
 Categories are predicted in order; the model of a category sees the words and the probabilities of the categories before
 it. For training those probabilities are out-of-fold: no document's own label has shaped what the next model sees of it.
-Features are the distinct words of a text, their beginnings of 4 to 6 characters, and the texture of the text (shares of upper case, symbols and
+Features are the distinct words of a text (long ones are taken apart, ``word_features``), their beginnings of 4 to 6 characters, and the texture of the text (shares of upper case, symbols and
 line ends, in steps). Each fit selects its features by their association with the label on its own rows.
 
 The fit runs on at most ``sample`` labelled rows (a documented bound, drawn by the hash of the id); scoring covers all
@@ -17,6 +17,7 @@ give empty results. ``score`` leaves extra columns out, ``cleaned`` keeps them.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,13 +30,23 @@ from pyspark.sql import functions as F
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\~`+=@^"
 SYMBOLS, UPPER = b"#*$%&|<>!", bytes(range(65, 91))
 KEPT_WORDS = 400_000
+#: Words up to this length are one; longer ones are taken apart, and not kept.
+LONG = 40
+SPLIT = re.compile(f"[{re.escape(EDGES)}]+")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashes of a word and its beginnings; a bare symbol has none."""
+    """Hashes of a word and its beginnings; a bare symbol has none.
+
+    Words of more than ``LONG`` characters are taken apart at ``EDGES``; a part that is still longer gives the beginnings at each of its characters.
+    """
     word = word.strip(EDGES)
-    if not word or len(word) > 40:
+    if not word:
         return []
+    if len(word) > LONG:
+        if SPLIT.search(word):
+            return [f for part in sorted(set(SPLIT.split(word))) for f in word_features(part)]
+        return [xxhash.xxh3_64_intdigest(f"^{x}") for x in sorted({word[i : i + k] for k in (4, 5, 6) for i in range(len(word) - k + 1)})]
     return [xxhash.xxh3_64_intdigest(f"w{word}")] + [xxhash.xxh3_64_intdigest(f"^{word[:k]}") for k in (4, 5, 6) if len(word) >= k]
 
 
@@ -102,7 +113,7 @@ class Rows:
             for w in set(text.lower().split()):
                 if (f := known.get(w)) is None:
                     f = np.array(word_features(w), np.uint64)
-                    if len(known) < 100_000:
+                    if len(known) < 100_000 and len(w) <= LONG:
                         known[w] = f
                 own.append(f)
             parts.append(np.unique(np.concatenate(own)))
@@ -206,9 +217,10 @@ class Scorer:
 
     def of_word(self, word: str) -> tuple[int, ...]:
         found = tuple(f for f in word_features(word) if f in self.entries)
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        self.words[word] = found
+        if len(word) <= LONG:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = found
         return found
 
     def probabilities(self, texts) -> np.ndarray:
