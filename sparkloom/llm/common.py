@@ -40,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_by(big: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, however many rows of ``big`` one key has.
+
+    ``small`` has one row a key, or a few, and in ``n_rows`` (left out of the result) how many rows the key has in ``big``, which are ``total``
+    in all. Keys of more than a 20,000th of ``total`` are fewer than 20,000, so their rows of ``small`` are sent to all executors and
+    their rows of ``big`` stay where they are; the others are shuffled. ``how`` is inner or left.
+    """
+    limit = max(1000, total // 20_000)
+    hot = small.where(F.col("n_rows") > limit).drop("n_rows")
+    rest = small.where(F.col("n_rows") <= limit).drop("n_rows")
+    others = big.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(rest, key, how)
+    return big.join(F.broadcast(hot), key).unionByName(others)
+
+
 def spread(n_rows: int, per_part: int, least: int = 1) -> int:
     """Partitions for ``n_rows`` at ``per_part`` rows each."""
     return max(least, -(-n_rows // per_part))

@@ -6,14 +6,16 @@ Two documents are linked if their sets of distinct five-word shingles have a Jac
    a bitmap, so the bits in which two sketches differ count the values in which the sets differ.
 2. Documents with one set are a class; its smallest id stands for it from here on.
 3. In each band bucket the smallest id is the center. Pairs of center and member, one a member and bucket, are held
-   against the sketches and the size bound; what may reach ``share`` is confirmed on the full sets.
-4. Confirmed links are joined to components. Buckets that still hold several components have their other pairs compared
-   too, in tasks of at most two ``block`` s of members: sizes and sketches are read there, and only pairs of different components
-   that may reach ``share`` come out. They are confirmed as before and the components are joined again. This is done three times: with the
-   most similar pairs that span a bucket, which join what is one component, in an eighth of the buckets, since groups meet in many; with those of all
-   buckets; then with all pairs that are left.
-
-No pair is left out by a cap: large buckets are split into pairs of blocks. Only links inside a component that is already joined are
+   against the sketches and the size bound; what may reach ``share`` is confirmed on the full sets. Confirmed links are joined to components.
+4. Buckets that still hold several components are dealt to cells: a cell is a bucket, or two blocks of a large one, of at most ``block_bytes`` each with
+   the sets. Every open pair, one of different components that sizes and sketches let through, belongs to the first bucket that both share.
+   First the sketches alone go to the cells, and members without an open pair there leave. Then the others come with their full sets:
+   a cell takes their pairs, the most similar first, confirms them on the sets and joins what is linked at once, so pairs that have
+   become one component are passed over. Only links that joined something come out: fewer than a cell has members.
+5. Those links join components, which are contracted, not found anew.
+
+No pair is left out by a cap, and none comes out of a bucket unconfirmed. The work inside large buckets still grows with their size and the
+members outside of the largest component. Only links inside a component that is already joined are
 not looked for, as they change nothing. A pair at the threshold shares no band with a probability under
 1e-7, and less above it; the sketch bound lies five standard deviations out.
 
@@ -32,9 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shingle_hashes, spread, words, written
+from sparkloom.llm.common import joined_by, shingle_hashes, words, written
 
 BANDS, ROWS, SAMPLES, BITS = 30, 3, 384, 4096
+CELL = ["key", "kind", "lo", "hi"]
 FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
 #: Ids that are sent to all executors at once, 8 bytes each; beyond it ids are joined by a shuffle.
 SENT_IDS = 500_000
@@ -100,8 +103,9 @@ def reachable(n_a, n_b, share: float):
 
 
 def sketched(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
-    """Pairs (``a``, ``b``) that sizes and sketches let through."""
+    """Distinct pairs (``a``, ``b``), a written table, that sizes and sketches let through. One ``a`` may have any number of pairs."""
     side = lambda k: own.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    centers = pairs.groupBy("a").agg(F.count("*").alias("n_rows")).join(side("a"), "a")
 
     @F.pandas_udf("int")
     def differing(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -110,7 +114,7 @@ def sketched(pairs: DataFrame, own: DataFrame, share: float) -> DataFrame:
         both = [np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (x, y)]
         return pd.Series(np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int32))
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(reachable(F.col("n_a"), F.col("n_b"), share))
+    near = joined_by(pairs.join(side("b"), "b"), centers, "a", pairs.count()).where(reachable(F.col("n_a"), F.col("n_b"), share))
     return near.where(differing("s_a", "s_b") <= most_differing(share)).select("a", "b").distinct()
 
 
@@ -121,11 +125,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: float, per_group: int =
     ``pairs`` is a written table. Texts are taken for the ids in it only.
     """
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    body = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    body = body.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SENT_IDS else body.join(ids, "doc_id", "left_semi")
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    groups = sizes.select("a", F.ceil(F.col("n") / per_group).cast("int").alias("groups"))
-    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
+    body = of_ids(docs, ids)
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n_rows"))
+    groups = sizes.select("a", F.ceil(F.col("n_rows") / per_group).cast("int").alias("groups"), "n_rows")
+    dealt = joined_by(pairs, groups, "a", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
     members = dealt.join(body.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
     centers = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part")).join(body.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
 
@@ -159,25 +162,40 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
-    before = None
+    n, before = edges.count(), None
     while True:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n_rows"))
+        large = joined_by(both, low, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+        small = joined_by(large, least, "u", 2 * n).select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
         edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == before:
+        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        if now == before:
             break
-        before = tuple(now)
+        n, before = now[0], now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def cells(members: DataFrame, block: int) -> DataFrame:
-    """Deal the members of each bucket to cells of at most two ``block`` s.
+def still_open(shared: DataFrame, joined: DataFrame, own: DataFrame, block_bytes: int) -> DataFrame:
+    """Members of buckets of three or more that hold several components, with the blocks of their bucket. The center is left out: its pairs are done.
+
+    ``shared`` has ``key``, ``doc_id``, ``center``, ``n`` and ``weight``, the bytes of a member with its set. ``major`` members are those of a bucket's largest component.
+    """
+    placed = shared.where("n > 2 AND doc_id <> center").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = written(placed.select("key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("component")), "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    buckets = sizes.groupBy("key").agg(F.max_by("component", F.struct("w", "component")).alias("largest"), F.max("w").alias("w_major"), F.sum("w").alias("w"), F.sum("n").alias("n_rows"), F.count("*").alias("several"))
+    blocks = lambda w: F.ceil(w / block_bytes).cast("int")
+    several = buckets.where("several > 1").select("key", "largest", "n_rows", blocks(F.col("w_major")).alias("n_major"), blocks(F.col("w") - F.col("w_major")).alias("n_rest"))
+    found = joined_by(placed, several, "key", placed.count()).withColumn("major", F.col("component") == F.col("largest"))
+    return found.drop("largest", "weight").join(own, "doc_id")
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """Deal the members of each bucket to cells of at most two blocks.
 
-    ``major`` members are those of the bucket's largest component: no pair of theirs is open. A bucket of one block each is one cell (kind
+    No pair of two ``major`` members is open. A bucket of one block each is one cell (kind
     2). Else each block of major members meets each block of the rest (kind 0), and the blocks of the rest meet one another (kind 1).
     """
     spot = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(n)).cast("int")
@@ -190,142 +208,166 @@ def cells(members: DataFrame, block: int) -> DataFrame:
     meets_own = each("n_rest", lambda k: cell(1, F.least(at, k), F.greatest(at, k)))
     one = F.array(cell(2, F.lit(0), F.lit(0)))
     dealt = F.when((F.col("n_major") == 1) & (F.col("n_rest") == 1), one).when(F.col("major"), meets_rest).otherwise(F.concat(meets_major, meets_own))
-    return found.withColumn("cell", F.explode(dealt)).select("key", "doc_id", "component", "n_shingles", "sketch", "major", "spot", "cell.kind", "cell.lo", "cell.hi")
-
-
-def across(members: DataFrame, share: float, block: int = 1024, mode: str = "all") -> DataFrame:
-    """Pairs of different components inside a bucket that sizes and sketches let through.
-
-    ``members``: ``key``, ``doc_id``, ``component``, ``n_shingles``, ``sketch``, ``major``, and ``n_major`` and ``n_rest``, the blocks of its bucket.
-    ``mode``: ``all`` pairs, or those of a ``forest`` of least differing bits.
-    """
-    bound, keys = most_differing(share), ["key", "kind", "lo", "hi"]
+    return found.withColumn("cell", F.explode(dealt)).select("key", "cell.kind", "cell.lo", "cell.hi", "doc_id", "digest", "component", "major", "spot", "n_shingles", "bands", "sketch")
+
+
+class Cell:
+    """Members of one cell as arrays. ``found`` are those of a member's open pairs that sizes and sketches let through and that no earlier bucket has."""
+
+    def __init__(self, rows: pd.DataFrame, share: float):
+        self.rows, self.share, self.bound = rows, share, most_differing(share)
+        self.key, self.kind, self.lo, self.hi = (rows[k].iloc[0] for k in CELL)
+        self.component, self.n, self.spot, self.major = (rows[k].to_numpy() for k in ("component", "n_shingles", "spot", "major"))
+        self.label = self.component.copy()
+        self.bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        self.bands = np.concatenate(rows["bands"].to_numpy()).reshape(len(rows), -1)
+
+    def firsts(self) -> np.ndarray:
+        """Members whose pairs are asked for; each pair is asked for by one of its two."""
+        if self.kind == 0:
+            return np.flatnonzero(~self.major)
+        return np.flatnonzero(self.spot == self.lo) if self.kind == 1 else np.arange(len(self.n))
+
+    def found(self, i: int) -> np.ndarray:
+        """Places, the most similar first."""
+        ok = (self.label != self.label[i]) & (np.minimum(self.n, self.n[i]) >= self.share * np.maximum(self.n, self.n[i]))
+        if self.kind == 0:
+            ok &= self.major
+        elif self.kind == 1 and self.lo != self.hi:
+            ok &= self.spot == self.hi
+        else:
+            ok[:i] = False
+        here = np.flatnonzero(ok)
+        if not len(here):
+            return here
+        bits = np.bitwise_count(self.bits[here] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        near = bits <= self.bound
+        here, bits = here[near], bits[near]
+        both = self.bands[here] == self.bands[i]
+        mine = both.any(axis=1) & (self.bands[i][both.argmax(axis=1)] == self.key)
+        return here[mine][np.argsort(bits[mine], kind="stable")]
+
+    def active(self) -> pd.DataFrame:
+        """The rows that have an open pair here."""
+        out = np.zeros(len(self.n), bool)
+        for i in self.firsts().tolist():
+            here = self.found(i)
+            if len(here):
+                out[i] = out[here] = True
+        return self.rows[out]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Components that confirmed pairs join; fewer than the components here. In each turn the most similar pairs of one member are confirmed at once."""
+        sets = [np.frombuffer(x, np.uint64) for x in self.rows["hashes"]]
+        values, spots = np.unique(np.concatenate(sets), return_inverse=True)
+        spots = np.split(spots, np.cumsum([len(x) for x in sets])[:-1])
+        mine, out = np.zeros(len(values), bool), []
+        for i in self.firsts().tolist():
+            here, many = self.found(i), 1
+            mine[spots[i]] = True
+            while len(here):
+                now, here = here[:many], here[many:]
+                shared = np.array([np.count_nonzero(mine[spots[j]]) for j in now.tolist()])
+                for j in now[shared >= self.share * (self.n[i] + self.n[now] - shared)].tolist():
+                    if self.label[j] != self.label[i]:
+                        out.append((int(self.component[i]), int(self.component[j])))
+                        self.label[self.label == self.label[j]] = self.label[i]
+                here, many = here[self.label[here] != self.label[i]], 4 * many
+            mine[spots[i]] = False
+        return out
+
+
+def by_cell(parts: Iterator[pd.DataFrame], share: float) -> Iterator[Cell]:
+    """Cells of rows that are sorted by them. A cell may go on in the next batch."""
+    held: list[pd.DataFrame] = []
+    for x in parts:
+        if not len(x):
+            continue
+        own = x[CELL].to_numpy()
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist(), len(x)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if held and tuple(own[i]) != tuple(held[0][CELL].iloc[0]):
+                yield Cell(pd.concat(held) if len(held) > 1 else held[0], share)
+                held = []
+            held.append(x.iloc[i:j])
+    if held:
+        yield Cell(pd.concat(held) if len(held) > 1 else held[0], share)
+
+
+def across(members: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    """Links (``a``, ``b``) of components that members of one bucket have."""
+
+    def open_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for cell in by_cell(parts, share):
+            held.append(cell.active())
+            size += len(held[-1])
+            if size > 5000:
+                yield pd.concat(held)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held)
+
+    def confirm(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in by_cell(parts, share):
+            if found := cell.links():
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    dealt = cells(members)
+    active = written(dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(open_rows, dealt.schema), "open")
+    with_sets = active.join(hash_sets(docs, written(active.select("doc_id").distinct(), "ids")), ["doc_id", "digest"])
+    return written(with_sets.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(confirm, "a bigint, b bigint"), "links")
+
+
+def hash_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id``, ``digest``, ``hashes`` of the documents whose ids are given."""
 
     def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        at, out, size = None, [], 0
         for x in parts:
-            own = x[keys].to_numpy()
-            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist(), len(x)] if len(x) else [0]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                cell = tuple(own[i].tolist())
-                if cell != at:
-                    for a, b in pairs(held):
-                        out.append((a, b))
-                        size += len(a)
-                        if size > 20_000:
-                            yield frame(out)
-                            out, size = [], 0
-                    held, at = [], cell
-                held.append(x.iloc[i:j])
-        out += pairs(held)
-        yield frame(out)
-
-    def frame(out: list) -> pd.DataFrame:
-        a, b = ([x[k] for x in out] for k in (0, 1))
-        join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-        return pd.DataFrame({"a": join(a), "b": join(b)}).drop_duplicates()
-
-    def pairs(held: list[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x = pd.concat(held) if len(held) > 1 else held[0] if held else ()
-        if len(x) < 2:
-            return
-        ids, comp, n, spots, major = (x[k].to_numpy() for k in ("doc_id", "component", "n_shingles", "spot", "major"))
-        kind, lo, hi = (x[k].iloc[0] for k in keys[1:])
-        bits = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
-        far = BITS + 1
-
-        def differing(i: int) -> np.ndarray:
-            """Bits in which each member differs from the i-th; 0 in its component, ``far`` where the pair is not open."""
-            ok = (comp != comp[i]) & (np.minimum(n, n[i]) >= share * np.maximum(n, n[i]))
-            if kind == 0:
-                ok &= major != major[i]
-            elif kind == 1 and lo != hi:
-                ok &= spots != spots[i]
-            out = np.where(comp == comp[i], 0, far)
-            here = np.flatnonzero(ok)
-            if len(here):
-                found = np.bitwise_count(bits[here] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                out[here] = np.where(found <= bound, np.maximum(found, 1), far)
-            return out
-
-        def made(u, v) -> tuple[np.ndarray, np.ndarray]:
-            u, v = ids[np.asarray(u)], ids[np.asarray(v)]
-            return np.minimum(u, v), np.maximum(u, v)
-
-        if mode == "forest":
-            best, via, outside = np.full(len(x), far), np.full(len(x), -1), np.ones(len(x), bool)
-            us, vs = [], []
-            missing = set(comp.tolist())  # once a member of each component is in, no further edge is wanted
-            while missing:
-                u = int(np.where(outside, best, far + 1).argmin())
-                outside[u] = False
-                missing.discard(int(comp[u]))
-                if 0 < best[u] < far:
-                    us.append(u)
-                    vs.append(via[u])
-                d = differing(u)
-                closer = d < best
-                best, via = np.where(closer, d, best), np.where(closer, u, via)
-            if us:
-                yield made(us, vs)
-            return
-        for i in range(len(x)):
-            d = differing(i)
-            d[: i + 1] = far
-            here = np.flatnonzero((d > 0) & (d < far))
-            if len(here):
-                yield made(np.full(len(here), i), here)
+            own = [shingle_hashes(words(body)) for body in x["text"]]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "hashes": [s.tobytes() for s in own]})
 
-    return cells(members, block).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(look, "a bigint, b bigint").distinct()
+    return of_ids(docs, ids).mapInPandas(look, "doc_id bigint, digest binary, hashes binary").dropDuplicates(["doc_id", "digest"])
 
 
-def still_open(shared: DataFrame, joined: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
-    """Members of buckets of three or more that hold several components. The center is left out: its pairs are done."""
-    placed = shared.where("n > 2 AND doc_id <> center").select("key", "doc_id").distinct().join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = written(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n_major"), F.sum("n").alias("n")).where("n > n_major")
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    several = several.select("key", "largest", blocks(F.col("n_major")).alias("n_major"), blocks(F.col("n") - F.col("n_major")).alias("n_rest"))
-    return placed.join(several, "key").withColumn("major", F.col("component") == F.col("largest")).join(sketches, "doc_id")
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of the documents whose ids are given in a written table."""
+    body = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    return body.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SENT_IDS else body.join(ids, "doc_id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", text: str = "text", block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: float = 0.75, id_col: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(features(docs), "features")
-    several = found.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Rows without a set or an id keep a null digest and match no class.
-    classed = found.join(several, "digest", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    classed = written(classed.select("doc_id", "n_shingles", "rep", F.when(F.col("rep") == F.col("doc_id"), F.col("bands")).alias("bands"), F.when(F.col("rep") == F.col("doc_id"), F.col("sketch")).alias("sketch")), "classed")
-    own = classed.where("bands IS NOT NULL").select("doc_id", "n_shingles", "sketch", "bands")
-
-    banded = own.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = written(banded.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("center <> last").select("key", "center", "n"), "buckets")
-    shared = written(banded.join(buckets, "key"), "shared")
-    stars = shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    n_docs = found.count()
+    sets = found.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "classes")
+    classed = written(joined_by(sets.select("doc_id", "digest", "n_shingles"), classes, "digest", n_docs), "classed")
+    first = classes.select("digest", F.col("rep").alias("doc_id"))
+    # Rows of one id and text are one.
+    own = written(sets.join(first, ["digest", "doc_id"]).select("doc_id", "digest", "n_shingles", "sketch", "bands").dropDuplicates(["doc_id", "digest"]), "own")
+
+    weight = (F.col("n_shingles") * 8 + 1024).alias("weight")
+    banded = own.select(F.explode("bands").alias("key"), "doc_id", weight)
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.count("*").alias("n_rows")).where("center <> last").drop("last")
+    shared = written(joined_by(banded, written(buckets, "buckets"), "key", BANDS * own.count()), "shared")
+    stars = written(shared.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     likely = written(sketched(stars, own, share), "likely")
     # An id whose rows hold different sets belongs to several classes, which it links.
-    torn = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    torn = classed.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     given = classed.where("rep <> doc_id").join(torn, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = written(confirmed(likely, docs, share).union(given), "links")
-    joined = written(components(links), "components")
-
-    sketches = own.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id", "sketch"])
-    checked = likely
-    eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
-    for mode, part in (("forest", shared.where(eighth)), ("forest", shared), ("all", shared)):
-        more = written(across(still_open(part, joined, sketches, block), share, block, mode).join(checked, ["a", "b"], "left_anti"), "across")
-        if not more.limit(1).count():
-            continue
-        checked = checked.union(more)
-        links = written(links.union(confirmed(more, docs, share)), "links")
-        joined = written(components(links), "components")
-
-    out = classed.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    joined = written(components(written(confirmed(likely, docs, share).union(given), "links")), "components")
+    again = written(components(across(still_open(shared, joined, own, block_bytes), docs, share)), "components")
+
+    # Class to component, then component to the one that it was joined to.
+    nodes = classes.groupBy("rep").agg(F.sum("n_rows").alias("copies")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    nodes = written(nodes.select("rep", "copies", F.coalesce("component", "rep").alias("node")), "nodes")
+    known = again.join(nodes.groupBy("node").agg(F.count("*").alias("n_rows")), "node")
+    final = joined_by(nodes, known, "node", n_docs, "left").select("rep", F.col("copies").alias("n_rows"), F.coalesce("component", "node").alias("component_id"))
+    linked = joined_by(classed.select("doc_id", "n_shingles", "rep"), final, "rep", n_docs).drop("rep")
+    alone = found.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, share: float = 0.75, text: str = "text") -> DataFrame:

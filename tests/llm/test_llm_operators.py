@@ -252,8 +252,9 @@ def copies(n, seed):
 
 def test_near_duplicates(spark, empty):
     rows = copies(140, 1) + ODD + [(50_000, passage(1, 80)), (50_000, passage(100, 120))]
-    found = odd_sketches.near_duplicates(frame(spark, rows), block=16)
-    assert keyed(found.collect(), "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows), key=repr)
+    for size in (30_000, 8 << 20):  # cells of pairs of blocks, and whole buckets
+        found = odd_sketches.near_duplicates(frame(spark, rows), block_bytes=size)
+        assert keyed(found.collect(), "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows), key=repr)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found.collect())
     assert odd_sketches.near_duplicates(empty).count() == 0
 
