@@ -6,7 +6,7 @@ row, so a conversation of any length is never gathered; only its digest reads it
 
 Defined results. Null text is empty, a null role is the empty role. Turns are ordered by turn (null first), then role, then
 text, so ties and repeated rows have one order. Records of no known layout give no turns and are listed by ``unmapped``. Empty
-tables give empty results. Extra columns are left out. Texts may hold any control string: the three characters that begin one are escaped, reversibly.
+tables give empty results. Extra columns are left out. Texts and roles may hold any control string: the three characters that begin one are escaped, reversibly.
 """
 
 from __future__ import annotations
@@ -171,12 +171,13 @@ def escaped(text: Column) -> Column:
 def unescaped(text: str) -> str:
     if "\\" not in text:
         return text
-    return "\\".join(x.replace("\\l", "<").replace("\\b", "[") for x in text.split("\\\\"))
+    return "\\".join(x.replace("\\l", "<").replace("\\b", "[").replace("\\p", "|") for x in text.split("\\\\"))
 
 
 def formatted(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One segment a turn, with the span that the loss covers (code points in the segment; empty for other roles)."""
-    head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(CLOSE))
+    # A role ends where the head does, so it has its ``|`` escaped too, to ``\\p``.
+    head = F.concat(F.lit(OPEN), F.replace(escaped(F.col("role")), F.lit("|"), F.lit("\\p")), F.lit(CLOSE))
     body = escaped(F.col("text"))
     rows = turns.select("conv_id", "turn", "role", "text", head.alias("head"), body.alias("body"))
     start = F.length("head").cast("long")
