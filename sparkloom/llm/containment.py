@@ -5,7 +5,7 @@ shingle of its minimum. The chance that a document has that shingle is the conta
 of the document, so the share of such shingles found estimates it. Items are partitioned by size (powers of two of
 their shingle counts): a document is held against the partitions whose items could be contained in it at the
 threshold, and each partition has its own least number of found minima, below which an item at the
-threshold falls with a probability under ``miss``. Candidates are verified on the full shingle sets.
+threshold falls with a probability under ``miss``: items of a few shingles must share more than the threshold says, one of 2 all of them, one of 5 four. Candidates are verified on the full shingle sets.
 
 Items are a stated set: they are taken in blocks of bounded size, each block is sent to the executors and all documents
 pass it. Documents are never shuffled.
@@ -70,8 +70,12 @@ class Index:
         self.set_keys, self.set_items = order(join(sets), np.repeat(np.arange(n), self.sizes))
         self.min_keys, self.min_items = order(join(minima), np.repeat(np.arange(n), hashes))
         partition = np.floor(np.log2(np.maximum(self.sizes, 1))).astype(np.int64)
-        need = least_hits(hashes, share, miss)
-        self.partitions = [(int(2**p), np.flatnonzero(partition == p), need) for p in np.unique(partition).tolist()]
+        # By item: the least size of its partition, and the minima that the partition asks for.
+        self.least, self.need = 2**partition, np.zeros(n, np.int64)
+        for p in np.unique(partition).tolist():
+            here = partition == p
+            sizes = np.unique(self.sizes[here])
+            self.need[here] = least_hits(hashes, float((np.ceil(share * sizes - 1e-9) / sizes).min()), miss)
 
     def shingles(self, found: list[bytes]) -> tuple[np.ndarray, int]:
         """Distinct shingles of the document that the block's words allow, and the most that the document can have."""
@@ -85,15 +89,15 @@ class Index:
         return np.unique(mixed([h[at[whole + i]] for i in range(SIZE)])) if len(whole) else np.empty(0, np.uint64), len(found) - SIZE + 1
 
     @staticmethod
-    def hits(keys: np.ndarray, items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-        """By item, how many of its keys the document has."""
+    def hits(keys: np.ndarray, items: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items with keys that the document has, and how many."""
         lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
         here = np.flatnonzero(hi > lo)
         if not len(here):
-            return np.zeros(n, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         spans = (hi - lo)[here]
         ends = np.cumsum(spans)
-        return np.bincount(items[np.repeat(lo[here] - (ends - spans), spans) + np.arange(ends[-1])], minlength=n)
+        return np.unique(items[np.repeat(lo[here] - (ends - spans), spans) + np.arange(ends[-1])], return_counts=True)
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """Item, shared shingles and item size of all items that the text contains."""
@@ -103,14 +107,13 @@ class Index:
         own, most = self.shingles(found)
         if not len(own):
             return []
-        n = len(self.ids)
-        minima = self.hits(self.min_keys, self.min_items, own, n)
-        picked = [members[minima[members] >= need] for least, members, need in self.partitions if self.share * least <= most]
-        candidates = np.concatenate(picked) if picked else np.empty(0, np.int64)
+        items, minima = self.hits(self.min_keys, self.min_items, own)
+        candidates = items[(minima >= self.need[items]) & (self.share * self.least[items] <= most)]
         if not len(candidates):
             return []
-        shared = self.hits(self.set_keys, self.set_items, own, n)
-        return [(self.ids[i], int(shared[i]), int(self.sizes[i])) for i in np.sort(candidates).tolist() if shared[i] >= self.share * self.sizes[i]]
+        items, shared = self.hits(self.set_keys, self.set_items, own)
+        kept = np.isin(items, candidates) & (shared >= self.share * self.sizes[items])
+        return [(self.ids[i], n, int(self.sizes[i])) for i, n in zip(items[kept].tolist(), shared[kept].tolist(), strict=True)]
 
 
 def indexes(items: DataFrame, item_id: str, text: str, share: float, block_bytes: int) -> Iterator[Index]:
