@@ -5,7 +5,8 @@ shorter; full pieces are sequences of their own. The others are bin-packed: ever
 best-fit decreasing, and lower bounds from dual feasible functions say how many
 bins it must have at least. A partition that meets its bound is done. The others hand
 the pieces of their bins that are not full to one another: those are dealt anew over fewer partitions and packed again.
-The rounds end when all that is left fits one partition, or no bin is saved.
+The rounds end when all that is left fits one partition, or when a round saves no bin; its packing is then left out. Each row
+tells the bins of the partition that placed it and their bound (``group_bins``, ``group_bound``; a full piece is its own).
 
 Defined results. Null and empty text are the end id alone. Repeated ids give repeated rows, each with its own place.
 An empty table gives an empty result. Extra columns are left out. A very long text is many full pieces.
@@ -14,6 +15,7 @@ No row carries ids: places and lengths alone are shuffled, and a group is bounde
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from sparkloom.llm import tokens
 from sparkloom.llm.common import spread, written
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PLACED = "row bigint, length bigint, bin bigint, offset bigint, open boolean"
+PLACED = "row bigint, length bigint, bin bigint, offset bigint, open boolean, group_bins bigint, group_bound bigint"
 
 
 def pieces(docs: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -103,38 +105,42 @@ def packed_once(items: DataFrame, parts: int, round_no: int, capacity: int) -> D
     def pack(x: pd.DataFrame) -> pd.DataFrame:
         lengths = x["length"].to_numpy(np.int64)
         bins, offsets, free = best_fit(lengths, capacity)
-        loose = free > 0
-        if len(free) == lower_bound(lengths, capacity):
+        loose, bound = free > 0, lower_bound(lengths, capacity)
+        if len(free) == bound:
             loose &= np.arange(len(free)) == free.argmax()
         number = (np.int64(round_no) << 56) + (np.int64(x["part"].iloc[0]) << 28) + bins
-        return pd.DataFrame({"row": x["row"], "length": lengths, "bin": number, "offset": offsets, "open": loose[bins]})
+        return pd.DataFrame({"row": x["row"], "length": lengths, "bin": number, "offset": offsets, "open": loose[bins], "group_bins": len(free), "group_bound": bound})
 
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInPandas(pack, PLACED)
 
 
-def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 2048, per_part: int = 40_000, rounds: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary_file: str, capacity: int = 2048, per_part: int = 40_000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every piece with its sequence and its place there."""
     # Written at once, so the number of a row is the same in each later read.
     cut = written(pieces(docs, vocabulary_file, id_col, text, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     items = cut.where(F.col("length") < capacity).select("row", "length")
-    done, left = [], items.count()
-    for k in range(rounds):
-        if not left:
-            break
+    left, n_bins, before, done, k = items.count(), None, None, [], 0
+    while left:
         parts = spread(left, per_part)
         now = written(packed_once(items, parts, k, capacity), "packed")
-        last = k == rounds - 1 or parts == 1
-        done.append(now if last else now.where(~F.col("open")))
-        if last:
+        held = lambda df: df.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        if before is not None and held(now)[1] >= n_bins:
+            done.append(before)
+            break
+        if parts == 1:
+            done.append(now)
             break
-        items = now.where(F.col("open")).select("row", "length")
-        left = items.count()
-    spots = done[0] if done else None
-    for x in done[1:]:
-        spots = spots.unionByName(x)
-    whole = cut.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    if spots is None:
-        return whole
-    placed = cut.where(F.col("length") < capacity).drop("length").join(spots, "row")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset").unionByName(whole)
+        done.append(now.where(~F.col("open")))
+        before = now.where("open")
+        items = before.select("row", "length")
+        left, n_bins = held(before)
+        k += 1
+    own = [F.col(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    out = cut.where(F.col("length") == capacity).select(*own, (-1 - F.col("row")).alias("sequence_id"), none.alias("offset"), one.alias("group_bins"), one.alias("group_bound"))
+    if done:
+        spots = functools.reduce(DataFrame.unionByName, done).drop("length", "open")
+        placed = cut.where(F.col("length") < capacity).join(spots, "row")
+        out = placed.select(*own, F.col("bin").alias("sequence_id"), "offset", "group_bins", "group_bound").unionByName(out)
+    return out
