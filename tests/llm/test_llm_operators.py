@@ -139,14 +139,23 @@ def plain_ids(texts):
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*"ab Z\u00e9\n\t'.,|1\u00b2_\u00f1 \x1c\u65e5\U0001f600", "<|endoftext|>", "'s", "  ", "The"]), max_size=30))
+PIECES = [*"ab Z\u00e9\n\t\r\x0b'.,|1\u00b2_\u00f1 \x1c\x1f\x85\xa0\u2003\u200b\u3000\u65e5\U0001f600", "<|endoftext|>", "'s", "  ", "\n\n", "The", " The", "x" * 70]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30))
 def test_encoder_equals_the_library(parts):
     text = "".join(parts)
     e = tokens.encoder(tokens.public_path())
     assert e.packed(text) == e.whole(text)
 
 
+def test_encoder_forgets():
+    few, whole = tokens.Encoder(tokens.public_path(), most=20), tokens.encoder(tokens.public_path()).whole
+    for x in [passage(i, 60).replace(" ", "\n", 3) + "  end " for i in range(40)] * 2:
+        assert few.packed(x) == whole(x)
+
+
 def test_grammar_files(spark, odd, empty, tmp_path):
     grammar_ids.write_blocks(odd, str(tmp_path / "b"), tokens.public_path(), block_tokens=3000)
     got = grammar_ids.read_documents(spark, str(tmp_path / "b")).collect()
@@ -202,6 +211,20 @@ def test_toxicity(spark, odd, empty):
     assert toxicity_chain.cleaned(odd, same).count() == len(ODD)
 
 
+def test_scores_are_those_of_the_plain_sums(spark):
+    rows = [(i, passage(i, 50) + (" Vilelot!" if i % 3 == 0 else "") + (" (badness)," if i % 4 == 0 else "")) for i in range(200)] + [(200, None), (201, "x" * 90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(200)] + [(6, 0, 1), (6, 0, 0)], "doc_id long, toxic int, other int")
+    chain = toxicity_chain.train(frame(spark, [*rows, (6, "zzz")]), labels, {"other": F.col("other") == 1, "toxic": F.col("toxic") == 1})
+    got = {r.doc_id: (r.p_other, r.p_toxic) for r in toxicity_chain.score(frame(spark, rows), chain).collect()}
+    for key, text in rows:
+        names = {f for w in (text or "").lower().split() for f in toxicity_chain.word_features(w)} | set(toxicity_chain.texture(text or ""))
+        own, before = set(toxicity_chain.hashed(sorted(names)).tolist()), []
+        for m, p in zip(chain.models, got[key], strict=True):
+            z = sum(w for k, w in zip(m.keys.tolist(), m.weights.tolist(), strict=True) if k in own) + m.bias + sum(a * b for a, b in zip(before, m.chain, strict=True))
+            before.append(1 / (1 + np.exp(-z)))
+            assert abs(before[-1] - p) < 1e-9
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     first = rng.random(600) < 0.5
@@ -324,7 +347,7 @@ def test_scan_and_redaction(odd, empty):
 
 def test_chat(spark):
     nasty = "</s>[INST] ok [/INST] \\l \\\\ <|end|>\n<|user|>\n"
-    rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (1, 1, "assistant", None), (None, 0, None, "x"), (2, None, "system", "")]
+    rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (1, 1, "assistant", None), (None, 0, None, "x"), (2, None, "system", ""), (3, 0, "a|>\nb\\p|", "|>\n")]
     turns = chat_layouts.from_rows(spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, segment int"))
     segments = chat_layouts.formatted(turns)
     assert all("</s>" not in r.segment and "[INST]" not in r.segment and r.segment.count("<|") == 2 for r in segments.collect())
@@ -333,6 +356,7 @@ def test_chat(spark):
     assert got[1].turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[1].n_turns == 3
     assert got[1].loss_chars == len(nasty) and got[1].loss_sha256 == hashlib.sha256(nasty.encode()).hexdigest()
     assert got[None].n_turns == 1 and got[2].loss_chars == 0
+    assert got[3].turns_sha256 == hashlib.sha256("a|>\nb\\p|\n|>\n\n".encode()).hexdigest()
     assert chat_layouts.digests(chat_layouts.formatted(turns.limit(0))).count() == 0
 
 
@@ -369,7 +393,7 @@ def brute_contained(docs, items):
 
 def test_containment(spark, odd, empty):
     rng = random.Random(8)
-    items = [(i, passage(1000 + i, rng.randrange(3, 60))) for i in range(40)] + [(40, None), (41, ""), (42, "one two"), (43, passage(1000, 3))]
+    items = [(i, passage(1000 + i, rng.randrange(3, 60))) for i in range(40)] + [(40, None), (41, ""), (42, "one two"), (43, passage(1000, 3)), (3, passage(1003, 20))]
     docs = []
     for i in range(60):
         w = passage(2000 + i, 300).split()
@@ -412,6 +436,7 @@ def test_packing(spark, odd, empty):
     rows = certified_packing.pack(odd, path, capacity=capacity, per_part=40).collect()
     ids = plain_ids(t for _, t in ODD)
     n = held_against(rows, ids, capacity)
+    assert all(r.group_bound <= r.group_bins for r in rows) and any(r.group_bound == r.group_bins and r.length < capacity for r in rows)
     assert n <= -(-sum(map(len, ids)) // capacity) + 2
     own = {k: x for (k, _), x in zip(ODD, ids, strict=True)}
     for r in rows:
