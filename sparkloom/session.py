@@ -50,11 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the folder that all executors share; a folder of our own only where none is set."""
+    """The same rows from a checkpoint in the folder that all executors share; a folder of our own only where none is set and the session is local."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="sparkloom-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
