@@ -253,12 +253,12 @@ def overlap_summary(spark, sf):
     return found.select("pairs", "high_pairs", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median", "stdev")])
 
 
-OLD, NEW = "SELECT doc_id, source, text FROM documents WHERE doc_id % 3 <> 0", "SELECT doc_id, 'new' AS source, lower(text) AS text FROM documents WHERE doc_id % 2 = 0"
+OLD, NEW = "SELECT doc_id, source, text FROM documents WHERE doc_id % 3 <> 0", "SELECT doc_id, 'new' AS source, lower(text) AS text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"
 
 
 @query("key_merge_upsert", f"WITH n AS ({NEW}), o AS ({OLD}) SELECT doc_id, source, sha256(text) AS hash FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n))")
 def key_merge_upsert(spark, sf):
-    """Old rows are those of ids that 3 does not divide; new ones, of ids that 2 or 3 divides, replace or join them. So every document is on a side; the SQL leaves out odd multiples of 3."""
+    """Old rows are those of ids that 3 does not divide; new ones, of ids that 2 or 3 divides, replace or join them. So every document is on a side."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     new = docs.where("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), F.lower("text").alias("text"))
     return dedup.upsert(docs.where("doc_id % 3 <> 0"), new, "doc_id").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
