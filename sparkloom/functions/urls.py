@@ -17,7 +17,8 @@ class Site:
     """What is particular to a crawled site; all of it is configuration.
 
     ``unit_key`` and ``unit_id``: a query key that names an organisational unit, and the one to keep. ``course_host``, ``structure_path``:
-    substrings of links to course and structure pages. ``year_key``, ``min_year``: oldest year of links that carry one. ``staff_path``, ``staff_key``: links to staff.
+    substrings of links to course and structure pages. ``year_key``, ``min_year``: oldest year of links that carry one. ``staff_path``, ``staff_key``: links to staff;
+    ``staff_home``, ``staff_teaching``: last path segments of their two pages.
     """
 
     unit_key: str = "unit"
@@ -28,6 +29,8 @@ class Site:
     min_year: int = 2021
     staff_path: str = "/people"
     staff_key: str = "person"
+    staff_home: str = "home"
+    staff_teaching: str = "didattica"
 
 
 def canonical(url: Column) -> Column:
@@ -60,10 +63,12 @@ def query_param(url: Column, key: str) -> Column:
 
 def wrong_unit(url: Column, site: Site) -> Column:
     """A query key contains the unit key and none of that key's values is the unit to keep."""
-    pairs = F.filter(F.split(query_of(url), "&"), lambda x: x.contains("=") & (F.substring_index(x, "=", -1) != ""))
-    key = lambda x: F.substring_index(x, "=", 1)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    key = lambda x: plain(F.substring_index(x, "=", 1))
+    value = lambda x: plain(F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1))
+    pairs = F.filter(F.split(query_of(url), "&"), lambda x: x.contains("=") & (value(x) != ""))
     named = F.filter(pairs, lambda x: F.lower(key(x)).contains(site.unit_key.lower()))
-    return F.exists(named, lambda x: ~F.exists(named, lambda y: (key(y) == key(x)) & (F.substring_index(y, "=", -1) == site.unit_id)))
+    return F.exists(named, lambda x: ~F.exists(named, lambda y: (key(y) == key(x)) & (value(y) == site.unit_id)))
 
 
 def forbidden_extension(url: Column) -> Column:

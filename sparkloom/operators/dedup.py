@@ -13,12 +13,12 @@ from sparkloom.functions import urls
 def first_by(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """First row of each key by the order column; all columns stay.
 
-    The first place of a key is found by an aggregate, which combines before the shuffle, so a key of any size is no task's burden;
-    the row itself is then found by its key and place.
+    Exactly one row a key survives: rows without a place come last, and ties go by the hash of the whole row, so they don't depend on arrival. Rows
+    without a key are one key. An aggregate finds the row and combines before the shuffle, so a key of any size is no task's burden. Empty tables give empty results.
     """
-    keyed = rows.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, keyed["_key"].eqNullSafe(first["_key"]) & (keyed[order] == first["_first"]), "left_semi").drop("_key")
+    place = F.struct(F.col(order).isNull().alias("a"), F.col(order).alias("b"), F.xxhash64(*rows.columns).alias("c"))
+    own = "_key" + "_" * max([0, *(len(c) for c in rows.columns)])  # longer than any column's name
+    return rows.groupBy(key.alias(own)).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), place).alias("row")).select("row.*")
 
 
 def url_dedup(docs: DataFrame, order: str, source: str = "source", keep_empty: bool = False) -> DataFrame:

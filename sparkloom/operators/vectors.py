@@ -72,23 +72,29 @@ def query_blocks(held: DataFrame) -> Iterator[list]:
 def similar(queries: DataFrame, vectors: DataFrame, k: int = TOP_CHILDREN, qid: str = "qid", vid: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k most similar vectors of each query by inner product: ``qid``, ``vec_id``, ``score``, ``rank`` from 1, ties by id.
 
-    Queries are taken in blocks of at most ``QUERY_BLOCK``, each sent whole; a task multiplies its vectors with the block and keeps its own k best a query, so what is shuffled is k rows a query and task.
+    Queries without an id or a vector, and vectors without one, have no hits; a query meets the vectors of its own length. Queries are taken in blocks of at most ``QUERY_BLOCK``, each sent whole; a task multiplies its vectors with the block and keeps its own k best a query, so what is shuffled is k rows a query and task.
     """
     spark = queries.sparkSession
     found = None
-    for rows in query_blocks(queries.select(F.col(qid).alias("qid"), F.col(column).alias("q"))):
-        sent = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), np.array([r.q for r in rows], np.float64)))
+    for rows in query_blocks(queries.select(F.col(qid).alias("qid"), F.col(column).alias("q")).where("qid IS NOT NULL AND q IS NOT NULL")):
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r.q), []).append(r)
+        sent = spark.sparkContext.broadcast({n: (np.array([r.qid for r in own], np.int64), np.array([r.q for r in own], np.float64)) for n, own in by_size.items()})
 
         def search(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            best = Best(len(ids), k)
+            best = {n: Best(len(ids), k) for n, (ids, _) in sent.value.items()}
             for x in parts:
                 for i in range(0, len(x), 2048):
                     part = x.iloc[i : i + 2048]
-                    best.add(np.round(matrix @ np.array(part["v"].tolist(), np.float64).T, PLACES), part["vec_id"].to_numpy(np.int64))
-            yield pd.DataFrame({"qid": ids[best.at], "vec_id": best.v, "score": best.s})
-
-        made = vectors.select(F.col(vid).cast("long").alias("vec_id"), F.col(column).alias("v")).where("v IS NOT NULL").mapInPandas(search, "qid bigint, vec_id bigint, score double")
+                    sizes = part["v"].map(len).to_numpy()
+                    for n, (_, matrix) in sent.value.items():
+                        if len(own := part[sizes == n]):
+                            best[n].add(np.round(matrix @ np.array(own["v"].tolist(), np.float64).reshape(len(own), n).T, PLACES), own["vec_id"].to_numpy(np.int64))
+            for n, (ids, _) in sent.value.items():
+                yield pd.DataFrame({"qid": ids[best[n].at], "vec_id": best[n].v, "score": best[n].s})
+
+        made = vectors.select(F.col(vid).cast("long").alias("vec_id"), F.col(column).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").mapInPandas(search, "qid bigint, vec_id bigint, score double")
         found = made if found is None else found.unionByName(made)
     if found is None:
         return spark.createDataFrame([], "qid bigint, vec_id bigint, score double, rank int")

@@ -154,7 +154,6 @@ def graded(asked: DataFrame, docs: DataFrame, generate: Generator, k: int, retri
     kept = grades(told, "raw", "n_docs").withColumnRenamed("place", "new_place")
     left = docs.withColumn("doc", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).join(kept, ["qid", "doc"]).select("qid", F.col("new_place").alias("place"), "score", "text")
     left = cut(left)
-    left = cut(left)
     some = left.select("qid").distinct().withColumn("_some", F.lit(True))
     asked = told.drop("texts", "n_docs", "raw").join(some, "qid", "left").withColumn("retrieval_grade", F.when(F.col("_some"), "relevant").otherwise("not_relevant")).drop("_some")
     if k == retries:

@@ -6,6 +6,7 @@ import html
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkloom.operators import quality
 
@@ -32,6 +33,18 @@ def console(summary: dict, title: str) -> str:
     return "\n".join(lines)
 
 
+def console_details(found: DataFrame, order: str, structure: dict, pairs: DataFrame) -> str:
+    """Plain text below a summary: the worst chunks, the structure's figures, and the pairs that overlap most (``overlap`` and their keys)."""
+    lines = [f"== worst {TOP_CONSOLE} =="]
+    for r in quality.worst(found, TOP_CONSOLE, order).select(order, "score", "quality_label", "issues").collect():
+        lines.append(f"  {r[order]}: {r['score']} {r['quality_label']} ({', '.join(f'{i.severity}:{i.code}' for i in r['issues'])})")
+    lines += ["== structure ==", *(f"  {k}: {v}" for k, v in structure.items()), "== pairs =="]
+    keys = [c for c in pairs.columns if c != "overlap"]
+    for r in pairs.orderBy(F.desc("overlap"), *keys).limit(TOP_CONSOLE).collect():
+        lines.append(f"  {', '.join(f'{k} {r[k]}' for k in keys)}: {100 * r['overlap']:.0f} %")
+    return "\n".join(lines)
+
+
 def html_report(parents: DataFrame, children: DataFrame, order: str, cards: dict[str, object]) -> str:
     """Cards and the worst chunks of both kinds; rows are coloured by score."""
 

@@ -25,11 +25,12 @@ def discard_reason(url, site: urls.Site):
 
 
 def judged(pages: DataFrame, order: str, site: urls.Site = urls.Site()) -> DataFrame:
-    """Pages with their ``discard_reason``; of the ones not discarded, all but the first of a canonical URL are duplicates."""
-    rows = pages.withColumns({"discard_reason": discard_reason(F.col("url"), site), "_canon": urls.canonical(F.col("url"))})
-    first = rows.where("discard_reason IS NULL").groupBy("_canon").agg(F.min(order).alias("_first"))
+    """Pages with their ``discard_reason``; of the ones not discarded, all but the first of a canonical URL are duplicates. Ties go by the hash of the row; rows that are equal in everything share their reason."""
+    place = F.struct(F.col(order).alias("a"), F.xxhash64(*pages.columns).alias("b"))
+    rows = pages.withColumns({"discard_reason": discard_reason(F.col("url"), site), "_canon": urls.canonical(F.col("url")), "_place": place})
+    first = rows.where("discard_reason IS NULL").groupBy("_canon").agg(F.min("_place").alias("_first"))
     told = rows.join(first, "_canon", "left")
-    return told.withColumn("discard_reason", F.when(F.col("discard_reason").isNull() & (F.col(order) > F.col("_first")), "discard_duplicate").otherwise(F.col("discard_reason"))).drop("_canon", "_first")
+    return told.withColumn("discard_reason", F.when(F.col("discard_reason").isNull() & (F.col("_place") > F.col("_first")), "discard_duplicate").otherwise(F.col("discard_reason"))).drop("_canon", "_place", "_first")
 
 
 def reach(pages: DataFrame, seeds: DataFrame, depth: int, site: urls.Site = urls.Site(), inside: str | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -56,9 +57,9 @@ def reach(pages: DataFrame, seeds: DataFrame, depth: int, site: urls.Site = urls
     return seen
 
 
-def crawled(pages: DataFrame, seeds: DataFrame, depth: int = 4, order: str = "page_id", site: urls.Site = urls.Site(), full: bool = True) -> DataFrame:
-    """Records of all pages reached and not discarded: cleaned text, source, type ``html``."""
-    found = reach(pages, seeds, depth, site)
+def crawled(pages: DataFrame, seeds: DataFrame, depth: int = 4, order: str = "page_id", site: urls.Site = urls.Site(), full: bool = True, inside: str | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Records of all pages reached, by links ``inside`` and not ``excluded`` as in ``reach``, and not discarded: cleaned text, source, type ``html``."""
+    found = reach(pages, seeds, depth, site, inside, excluded)
     kept = judged(pages, order, site).where("discard_reason IS NULL").withColumn("_canon", urls.canonical(F.col("url")))
     kept = kept.join(found.select(F.col("url").alias("_canon"), "level"), "_canon").drop("_canon")
     return as_records(kept, order, full)
@@ -81,22 +82,22 @@ def staff_ids(pages: DataFrame, site: urls.Site = urls.Site()) -> DataFrame:
     return hrefs.select(urls.staff_id(F.col("href"), site).alias("staff_id")).where("staff_id IS NOT NULL").distinct()
 
 
-def staff_urls(ids: DataFrame, root: str) -> DataFrame:
+def staff_urls(ids: DataFrame, root: str, site: urls.Site = urls.Site()) -> DataFrame:
     """Two pages a member of staff: home and teaching."""
     at = lambda page: F.concat(F.lit(f"{root}/"), F.col("staff_id"), F.lit(f"/{page}"))
-    return ids.select("staff_id", F.explode(F.array(at("home"), at("didattica"))).alias("url"))
+    return ids.select("staff_id", F.explode(F.array(at(site.staff_home), at(site.staff_teaching))).alias("url"))
 
 
-def staff_homes(pages: DataFrame, wanted: DataFrame, order: str = "page_id") -> DataFrame:
+def staff_homes(pages: DataFrame, wanted: DataFrame, order: str = "page_id", site: urls.Site = urls.Site()) -> DataFrame:
     """Records of staff homes that have a table."""
-    homes = wanted.where(F.col("url").endswith("/home")).select("url")
+    homes = wanted.where(F.col("url").endswith(f"/{site.staff_home}")).select("url")
     return as_records(pages.join(homes, "url", "left_semi").where(F.col("html").rlike("(?i)<table")), order)
 
 
 def staff_courses(pages: DataFrame, wanted: DataFrame, order: str = "page_id", site: urls.Site = urls.Site()) -> DataFrame:
     """Records of the course pages that teaching pages link to, of the oldest year or later; the teaching pages themselves are not stored."""
-    teaching = pages.join(wanted.where(F.col("url").endswith("/didattica")).select("url"), "url", "left_semi")
-    out = links(teaching, site).where(F.col("dst_url").contains(f"didattica?{site.year_key}=") & F.col("dst_url").contains("id=") & urls.surely_young(F.col("dst_url"), site))
+    teaching = pages.join(wanted.where(F.col("url").endswith(f"/{site.staff_teaching}")).select("url"), "url", "left_semi")
+    out = links(teaching, site).where(F.col("dst_url").contains(f"{site.staff_teaching}?{site.year_key}=") & F.col("dst_url").contains("id=") & urls.surely_young(F.col("dst_url"), site))
     return as_records(pages.join(out.select(F.col("dst_url").alias("url")).distinct(), "url", "left_semi"), order)
 
 
@@ -106,12 +107,17 @@ def courses(pages: DataFrame, found: DataFrame, depth: int = 3, order: str = "pa
     return crawled(pages, seeds, depth, order, site).where(~urls.is_english(F.col("source")))
 
 
-def acquire(pages: DataFrame, seeds: DataFrame, staff_root: str, order: str = "page_id", site: urls.Site = urls.Site(), pdfs: DataFrame | None = None) -> DataFrame:
-    """All phases in their order, then the two deduplications: the first phase that has a page keeps it."""
-    base = reach(pages, seeds, 4, site).select(F.col("url").alias("_canon"))
-    mined = cut(links(pages.withColumn("_canon", urls.canonical(F.col("url"))).join(base, "_canon", "left_semi"), site))
-    wanted = cut(staff_urls(staff_ids(pages, site), staff_root))
-    parts = [crawled(pages, seeds, 4, order, site), structures(pages, mined, order), staff_homes(pages, wanted, order), staff_courses(pages, wanted, order, site), courses(pages, mined, 3, order, site)]
+def acquire(pages: DataFrame, seeds: DataFrame, staff_root: str, order: str = "page_id", site: urls.Site = urls.Site(), pdfs: DataFrame | None = None, inside: str | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """All phases in their order, then the two deduplications: the first phase that has a page keeps it.
+
+    Only pages that are reached and not discarded are mined for links to structures and courses.
+    """
+    base = reach(pages, seeds, 4, site, inside, excluded).select(F.col("url").alias("_canon"))
+    left = judged(pages, order, site).where("discard_reason IS NULL").withColumn("_canon", urls.canonical(F.col("url")))
+    mined = cut(links(left.join(base, "_canon", "left_semi"), site))
+    wanted = cut(staff_urls(staff_ids(pages, site), staff_root, site))
+    first = crawled(pages, seeds, 4, order, site, inside=inside, excluded=excluded)
+    parts = [first, structures(pages, mined, order), staff_homes(pages, wanted, order, site), staff_courses(pages, wanted, order, site), courses(pages, mined, 3, order, site)]
     if pdfs is not None:
         parts.append(pdfs.withColumn("ord", F.xxhash64("source")))
     whole = cut(dedup.phases(parts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
-from sparkloom.operators import dedup, profile
+from sparkloom.operators import dedup, profile, structure
 
 RECORD = "text string, source string, type string"
 STORE = "map<string,struct<page_content:string,metadata:map<string,string>>>"
@@ -43,6 +44,29 @@ def write_records(docs: DataFrame, path: str, least: int = profile.MIN_EXPORT) -
     kept.select("text", "source", F.coalesce("type", F.lit("sconosciuto")).alias("type")).write.mode("overwrite").parquet(path)
 
 
+def write_records_json(docs: DataFrame, path: str, order: str, least: int = profile.MIN_EXPORT) -> int:
+    """The same records as one JSON array in a file of the driver, in order, with all characters as they are; how many there are.
+
+    This is the hand-over form, one file by nature: rows stream through the driver, a partition at a time, and are never all held.
+    """
+    kept = profile.exportable(docs, least=least).orderBy(order, "source", "text")
+    n = 0
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for r in kept.select("text", "source", F.coalesce("type", F.lit("sconosciuto")).alias("type")).toLocalIterator():
+            out.write(("," if n else "") + "\n" + json.dumps(r.asDict(), ensure_ascii=False))
+            n += 1
+        out.write("\n]\n")
+    return n
+
+
+def write_export(parents: DataFrame, children: DataFrame, path: str, order: str, n: int = 5) -> None:
+    """The debug export of the first n parents as a JSON array in a file of the driver."""
+    found = [r.asDict(recursive=True) for r in structure.debug_sample(parents, children, order, n).collect()]
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(found, out, ensure_ascii=False, indent=2)
+
+
 def write_store(parents: DataFrame, path: str, order: str) -> None:
     """One row a parent, the last of each id; rows without an id are skipped."""
     dedup.last_by(parents, "parent_id", order).write.mode("overwrite").parquet(path)
