@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +20,11 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and the session local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -54,6 +59,24 @@ def joined_by(big: DataFrame, small: DataFrame, key: str, total: int, how: str =
     return big.join(F.broadcast(hot), key).unionByName(others)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    here = ctypes.CDLL(None)
+    if hasattr(here, "malloc_trim"):
+        here.malloc_trim(0)
+
+
+def relieved(look: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back at its end."""
+
+    def run(parts: Iterator) -> Iterator:
+        yield from look(parts)
+        give_back()
+
+    return run
+
+
 def spread(n_rows: int, per_part: int, least: int = 1) -> int:
     """Partitions for ``n_rows`` at ``per_part`` rows each."""
     return max(least, -(-n_rows // per_part))

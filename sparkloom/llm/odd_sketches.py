@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import joined_by, shingle_hashes, words, written
+from sparkloom.llm.common import joined_by, relieved, shingle_hashes, words, written
 
 BANDS, ROWS, SAMPLES, BITS = 30, 3, 384, 4096
 CELL = ["key", "kind", "lo", "hi"]
@@ -94,7 +94,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                     out.append((key, 0, None, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "bands", "sketch"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(look, FEATURES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(relieved(look), FEATURES)
 
 
 def reachable(n_a, n_b, share: float):
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: float, per_group: int =
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     rows = members.unionByName(centers).select("a", "part", F.coalesce("b", F.lit(0)).alias("b"), F.col("b").isNull().alias("center"), "text")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("center").desc()).mapInPandas(look, "a bigint, b bigint")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("center").desc()).mapInPandas(relieved(look), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,9 +314,9 @@ def across(members: DataFrame, docs: DataFrame, share: float) -> DataFrame:
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     dealt = cells(members)
-    active = written(dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(open_rows, dealt.schema), "open")
+    active = written(dealt.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(relieved(open_rows), dealt.schema), "open")
     with_sets = active.join(hash_sets(docs, written(active.select("doc_id").distinct(), "ids")), ["doc_id", "digest"])
-    return written(with_sets.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(confirm, "a bigint, b bigint"), "links")
+    return written(with_sets.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(relieved(confirm), "a bigint, b bigint"), "links")
 
 
 def hash_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def hash_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             own = [shingle_hashes(words(body)) for body in x["text"]]
             yield pd.DataFrame({"doc_id": x["doc_id"], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "hashes": [s.tobytes() for s in own]})
 
-    return of_ids(docs, ids).mapInPandas(look, "doc_id bigint, digest binary, hashes binary").dropDuplicates(["doc_id", "digest"])
+    return of_ids(docs, ids).mapInPandas(relieved(look), "doc_id bigint, digest binary, hashes binary").dropDuplicates(["doc_id", "digest"])
 
 
 def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

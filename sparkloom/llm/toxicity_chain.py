@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted in order; the model of a category sees the words and the probabilities of the categories before
-it. For training those probabilities are out-of-fold: no document's own label has shaped what the next model sees of it.
+it. For training those probabilities are out-of-fold: neither a document's own label nor that of an equal text has shaped what the next model sees of it.
 Features are the distinct words of a text (long ones are taken apart, ``word_features``), their beginnings of 4 to 6 characters, and the texture of the text (shares of upper case, symbols and
 line ends, in steps). Each fit selects its features by their association with the label on its own rows.
 
@@ -9,8 +9,8 @@ The fit runs on at most ``sample`` labelled rows (a documented bound, drawn by t
 documents and whole texts.
 
 Defined results. Null and empty texts have texture features alone. Without labels, or with one class only, a category's probability
-is its base rate (0 without labels), so nothing is rejected for want of labels. Labels that are null, of unknown ids or of repeated
-ids: nulls are left out, unknown ids match nothing, of repeated ones all count. Repeated documents get equal scores. Empty tables
+is its base rate (0 without labels), so nothing is rejected for want of labels. Labels that are null are left out, those of unknown ids match nothing; an id of
+several labels is in a category if any of them is, and of several texts of an id the least one is fitted on. Repeated documents get equal scores. Empty tables
 give empty results. ``score`` leaves extra columns out, ``cleaned`` keeps them.
 """
 
@@ -27,16 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import give_back, relieved
+
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\~`+=@^"
 SYMBOLS, UPPER = b"#*$%&|<>!", bytes(range(65, 91))
-KEPT_WORDS = 400_000
 #: Words up to this length are one; longer ones are taken apart, and not kept.
 LONG = 40
 SPLIT = re.compile(f"[{re.escape(EDGES)}]+")
 
 
-def word_features(word: str) -> list[int]:
-    """Hashes of a word and its beginnings; a bare symbol has none.
+def word_features(word: str) -> list[str]:
+    """A word ("w", word) and its beginnings ("^", beginning); a bare symbol has none.
 
     Words of more than ``LONG`` characters are taken apart at ``EDGES``; a part that is still longer gives the beginnings at each of its characters.
     """
@@ -46,21 +47,26 @@ def word_features(word: str) -> list[int]:
     if len(word) > LONG:
         if SPLIT.search(word):
             return [f for part in sorted(set(SPLIT.split(word))) for f in word_features(part)]
-        return [xxhash.xxh3_64_intdigest(f"^{x}") for x in sorted({word[i : i + k] for k in (4, 5, 6) for i in range(len(word) - k + 1)})]
-    return [xxhash.xxh3_64_intdigest(f"w{word}")] + [xxhash.xxh3_64_intdigest(f"^{word[:k]}") for k in (4, 5, 6) if len(word) >= k]
+        return [f"^{x}" for x in sorted({word[i : i + k] for k in (4, 5, 6) for i in range(len(word) - k + 1)})]
+    return [f"w{word}"] + [f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k]
 
 
-def texture(text: str) -> list[int]:
+def texture(text: str) -> list[str]:
+    """Steps of the shares of some characters ("=", name and step)."""
     n = max(1, len(text))
     raw = text.encode("utf-8", "surrogatepass")
     less = lambda drop: len(raw) - len(raw.translate(None, drop))
     counts = (("upper", less(UPPER)), ("marks", less(SYMBOLS)), ("lines", 10 * text.count("\n")), ("spaces", text.count(" ")))
-    return [xxhash.xxh3_64_intdigest(f"{k}{int(20 * v / n + 0.5)}") for k, v in counts]
+    return [f"={k}{int(20 * v / n + 0.5)}" for k, v in counts]
+
+
+def hashed(features: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(f) for f in features], np.uint64)
 
 
 @dataclass
 class Linear:
-    """One category's model: selected features, their weights, weights of earlier categories, bias."""
+    """One category's model: selected features by hash, their weights, weights of earlier categories, bias."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -70,18 +76,25 @@ class Linear:
 
 @dataclass
 class Chain:
-    """Models in chain order; ``places`` maps a feature hash to its (category, weight) entries."""
+    """Models in chain order. ``weights`` has the weights of each selected feature, one a category."""
 
     names: tuple[str, ...]
     models: list[Linear] = field(default_factory=list)
+    weights: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
-    def places(self) -> dict[int, tuple[tuple[int, float], ...]]:
-        out: dict[int, list] = {}
+    def name_features(self, texts: list[str | None]) -> None:
+        """Fill ``weights``: what the selected features of the texts it was fitted on are."""
+        found: dict[int, list[float]] = {}
         for c, m in enumerate(self.models):
             for k, w in zip(m.keys.tolist(), m.weights.tolist(), strict=True):
-                if w:
-                    out.setdefault(k, []).append((c, w))
-        return {k: tuple(v) for k, v in out.items()}
+                found.setdefault(k, [0.0] * len(self.models))[c] = w
+        for i in range(0, len(texts), 1000):
+            part = [x or "" for x in texts[i : i + 1000]]
+            named = {f for x in part for f in texture(x)}
+            named.update(f for w in set().union(*(x.lower().split() for x in part)) for f in word_features(w))
+            for f in sorted(named):
+                if f not in self.weights and (own := found.get(xxhash.xxh3_64_intdigest(f))):
+                    self.weights[f] = tuple(own)
 
     def finish(self, sums: np.ndarray) -> np.ndarray:
         """Probabilities from the sums of feature weights, category by category."""
@@ -109,23 +122,32 @@ class Rows:
         known: dict[str, np.ndarray] = {}
         for text in texts:
             text = text or ""
-            own = [np.array(texture(text), np.uint64)]
+            own = [hashed(texture(text))]
             for w in set(text.lower().split()):
                 if (f := known.get(w)) is None:
-                    f = np.array(word_features(w), np.uint64)
-                    if len(known) < 100_000 and len(w) <= LONG:
+                    f = hashed(word_features(w))
+                    if len(known) < 50_000 and len(w) <= LONG:
                         known[w] = f
                 own.append(f)
             parts.append(np.unique(np.concatenate(own)))
+        del known
         self.n = len(parts)
-        every = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        every.sort()
-        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-        self.keys = every[starts][np.diff(np.append(starts, len(every))) >= least]
-        del every
-        found = [np.flatnonzero(member(p, self.keys)) for p in parts]
-        self.row = np.repeat(np.arange(self.n), [len(f) for f in found])
-        self.at = np.concatenate([np.searchsorted(self.keys, p[f]) for p, f in zip(parts, found, strict=True)]) if parts else np.empty(0, np.int64)
+        # By ranges of the hash, so that no second copy of all features is made.
+        found, bounds = [], [np.uint64(k << 61) for k in range(1, 8)]
+        slices = [np.split(p, np.searchsorted(p, bounds)) for p in parts]
+        for r in range(8):
+            every = np.sort(np.concatenate([s[r] for s in slices])) if slices else np.empty(0, np.uint64)
+            # Sorted, a feature of ``least`` texts equals the one ``least - 1`` places on.
+            every = every[: max(0, len(every) - least + 1)][every[least - 1 :] == every[: max(0, len(every) - least + 1)]]
+            found.append(every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every)
+        self.keys = np.concatenate(found)
+        del slices, every
+        at = []
+        for k, p in enumerate(parts):
+            at.append(np.searchsorted(self.keys, p[member(p, self.keys)]).astype(np.int32))
+            parts[k] = None
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f in at])
+        self.at = np.concatenate(at) if at else np.empty(0, np.int32)
 
     def selected(self, y: np.ndarray, use: np.ndarray, most: int, least: int) -> np.ndarray:
         """Features most associated with the label (chi-square) on the rows in use."""
@@ -148,10 +170,10 @@ def fit_linear(rows: Rows, y: np.ndarray, use: np.ndarray, before: np.ndarray, m
     if not 0 < p < 1:
         return flat, np.full(rows.n, p)
     picked = rows.selected(y, use, most, least)
-    column = np.full(len(rows.keys), -1)
-    column[picked] = np.arange(len(picked))
+    column = np.full(len(rows.keys), -1, np.int32)
+    column[picked] = np.arange(len(picked), dtype=np.int32)
     col = column[rows.at]
-    row, col = rows.row[col >= 0], col[col >= 0]
+    row, col = rows.row[col >= 0].astype(np.intp), col[col >= 0].astype(np.intp)
     n_w = len(picked)
     theta = np.zeros(n_w + n_chain + 1)
     theta[-1] = flat.bias
@@ -173,9 +195,9 @@ def fit_linear(rows: Rows, y: np.ndarray, use: np.ndarray, before: np.ndarray, m
 
 
 def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], folds: int = 3, most: int = 3000, least: int = 3) -> Chain:
-    """Fit the chain; ``labels`` has one 0/1 array a category, in chain order."""
+    """Fit the chain; ``labels`` has one 0/1 array a category, in chain order. Copies of a text are in one fold, so none tells another's label."""
     rows, chain = Rows(texts), Chain(tuple(labels))
-    fold = np.arange(rows.n) % folds
+    fold = np.array([xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "surrogatepass")) % folds for x in texts], np.int64)
     before = np.zeros((rows.n, 0))
     every = np.ones(rows.n, bool)
     for k, y in enumerate(labels.values()):
@@ -185,19 +207,22 @@ def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], folds: int
             out = np.zeros(rows.n)
             for f in range(folds):
                 held = fold == f
-                if held.any():
+                if held.any() and not held.all():
                     out[held] = fit_linear(rows, y, ~held, before, most, least)[1][held]
             before = np.column_stack([before, out])
+    chain.name_features(texts)
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", sample: int = 8_000) -> Chain:
     """Fit on at most ``sample`` labelled rows. ``categories``: conditions on the columns of ``labels``, in chain order."""
-    known = labels.select(F.col(id_col).alias("label_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
-    drawn = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    # The drawn rows are bounded by ``sample``; so is what repeated ids may add. They fit one task, whose model alone comes to the driver.
     names = list(categories)
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "label_id").limit(2 * sample)
+    known = labels.select(F.col(id_col).alias("label_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
+    # One label an id and one text an id: an id is in a category if any of its rows is, and its text is the least one.
+    drawn = known.groupBy("label_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))]).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "label_id")
+    rows = rows.groupBy("label_id").agg(F.min("text").alias("text"), *[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
+    # At most ``sample`` rows: they fit one task, whose model alone comes to the driver.
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = pd.concat([x for x in parts if len(x)] or [pd.DataFrame(columns=["label_id", "text", *[f"y{i}" for i in range(len(names))]])])
@@ -205,39 +230,39 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
         chain = fit_chain(found["text"].tolist(), {k: found[f"y{i}"].to_numpy(float) for i, k in enumerate(names)})
         yield pd.DataFrame({"model": [pickle.dumps(chain)], "n": [len(found)]})
 
-    made = rows.coalesce(1).mapInPandas(fit, "model binary, n long").collect()
+    made = rows.coalesce(1).mapInPandas(relieved(fit), "model binary, n long").collect()
     return pickle.loads(made[0].model) if made else fit_chain([], {k: np.empty(0) for k in names})
 
 
 class Scorer:
-    """Feature weights by raw word, so that each distinct word is hashed once a worker."""
+    """Weights of the selected features by plain word and beginning; a word's first four characters tell most words without any."""
 
     def __init__(self, chain: Chain):
-        self.chain, self.entries, self.words = chain, chain.places(), {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = tuple(f for f in word_features(word) if f in self.entries)
-        if len(word) <= LONG:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        self.chain, self.weights = chain, chain.weights
+        self.whole = {f[1:]: f for f in self.weights if f[0] == "w"}
+        self.begin = {f[1:]: f for f in self.weights if f[0] == "^"}
+        self.starts = {x[:4] for x in (*self.whole, *self.begin)}
+
+    def features(self, text: str) -> set[str]:
+        """Those of the text that have weights."""
+        own = {f for f in texture(text) if f in self.weights}
+        starts, whole, begin = self.starts, self.whole, self.begin
+        for w in {w.strip(EDGES) for w in set(text.lower().split())}:
+            if len(w) > LONG:
+                own.update(f for f in word_features(w) if f in self.weights)
+            elif w[:4] in starts:
+                if w in whole:
+                    own.add(whole[w])
+                for k in (4, 5, 6):
+                    if len(w) >= k and w[:k] in begin:
+                        own.add(begin[w[:k]])
+        return own
 
     def probabilities(self, texts) -> np.ndarray:
         sums = np.zeros((len(texts), len(self.chain.names)))
-        get = self.words.get
         for i, text in enumerate(texts):
-            text = text or ""
-            own = {f for f in texture(text) if f in self.entries}
-            for w in set(text.lower().split()):
-                f = get(w)
-                if f is None:
-                    f = self.of_word(w)
-                if f:
-                    own.update(f)
-            for f in sorted(own):
-                for c, weight in self.entries[f]:
-                    sums[i, c] += weight
+            if own := sorted(self.features(text or "")):
+                sums[i] = np.array([self.weights[f] for f in own]).sum(axis=0)
         return self.chain.finish(sums)
 
 
@@ -253,7 +278,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text: str = "te
             made.insert(0, "doc_id", x["doc_id"].astype("Int64").to_numpy())
             yield made
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(look, "doc_id bigint, " + ", ".join(f"{x} double" for x in names))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(relieved(look), "doc_id bigint, " + ", ".join(f"{x} double" for x in names))
 
 
 def cleaned(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -266,5 +291,6 @@ def cleaned(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: f
         scorer = Scorer(sent.value)
         for x in parts:
             yield pd.Series(scorer.probabilities(x.tolist())[:, place] < threshold)
+        give_back()
 
     return docs.where(clean(F.col(text)))
