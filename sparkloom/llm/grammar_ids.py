@@ -1,6 +1,6 @@
 """Token ids in a binary file format, compressed by a Re-Pair grammar a block.
 
-Texts are range-partitioned and sorted by id, encoded where they arrive, and cut into blocks
+Texts are encoded where they are read; their ids, two bytes each in a vocabulary of up to 65,536, are range-partitioned and sorted by document id, and cut into blocks
 of about ``block_tokens`` ids that end with a document. In each block frequent pairs
 of neighbouring symbols are replaced by nonterminals, again and again; a
 block stores its rules, the expansion length of each nonterminal and the
@@ -13,7 +13,7 @@ and ``symbol_ends`` (by document, inside the block), ``rules`` (left and right s
 (the first nonterminal). Symbol ``base - 1`` ends a document and stands for the end id.
 
 Defined results. Null and empty text give the end id alone. A null id sorts first. Repeated ids follow one
-another, in any order if their texts differ in nothing. An empty table writes no blocks and reads back empty. Extra columns are left
+another, by the hash of their token ids and then by those; however many rows have one id, or none, several tasks share them. An empty table writes no blocks and reads back empty. Extra columns are left
 out. A very long text is one document of one block, which then holds more than ``block_tokens`` ids.
 """
 
@@ -29,8 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import tokens
+from sparkloom.llm.common import spread, written
 
 END_ID = 0
+#: Pieces whose ids a worker keeps; starts of this many blocks are sent to all executors (a few bytes each), beyond it they are joined by a shuffle.
+KEPT_PIECES, SENT_BLOCKS = 1_200_000, 500_000
 BLOCK = "part int, seq int, doc_ids array<bigint>, token_ends array<bigint>, symbol_ends array<bigint>, n_tokens bigint, base int, width int, rules binary, expansions binary, symbols binary"
 
 
@@ -167,10 +170,16 @@ class Block:
 def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", block_tokens: int = 2_000_000, rounds: int = 5) -> None:
     """Write the ids of all documents, in ascending id order, to ``path``."""
 
+    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = tokens.encoder(vocabulary_file, KEPT_PIECES)
+        end = np.array([END_ID], encode.kind).tobytes()
+        for x in parts:
+            raw = [encode.packed(body) + end for body in x["text"]]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "no_id": x["no_id"], "n_tokens": [len(r) // encode.kind.itemsize for r in raw], "ids": raw})
+
     def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(vocabulary_file)
+        encode = tokens.encoder(vocabulary_file, KEPT_PIECES)
         vocabulary, part, seq = encode.tokenizer.get_vocab_size(True), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], encode.kind).tobytes()
         ids: list[int | None] = []
         held: list[bytes] = []
         size = 0
@@ -182,10 +191,10 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, id_col: str =
             return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [ids], "token_ends": [ends], "symbol_ends": [found["symbol_ends"]], "n_tokens": [int(ends[-1])]} | {k: [found[k]] for k in ("base", "width", "rules", "expansions", "symbols")})
 
         for x in parts:
-            for key, missing, body in zip(x["doc_id"], x["no_id"], x["text"], strict=True):
+            for key, missing, n, raw in zip(x["doc_id"], x["no_id"], x["n_tokens"], x["ids"], strict=True):
                 ids.append(None if missing else int(key))
-                held.append(encode.packed(body) + end)
-                size += len(held[-1]) // encode.kind.itemsize
+                held.append(raw)
+                size += n
                 if size >= block_tokens:
                     yield block()
                     ids, held, size, seq = [], [], 0, seq + 1
@@ -194,8 +203,12 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, id_col: str =
 
     key = F.col(id_col)
     rows = docs.select(F.coalesce(key, F.lit(0)).cast("long").alias("doc_id"), key.isNull().alias("no_id"), F.col(text).alias("text"))
-    order = [F.col("no_id").desc(), F.col("doc_id")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInPandas(blocks, BLOCK).write.parquet(path)
+    # Written, so that neither the sample for the ranges nor a lost shuffle file encodes texts again.
+    rows = written(rows.mapInPandas(encoded, "doc_id bigint, no_id boolean, n_tokens bigint, ids binary"), "encoded")
+    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    order = [F.col("no_id").desc(), F.col("doc_id"), F.xxhash64("ids")]
+    ranged = rows.repartitionByRange(spread(int(total), 2 * block_tokens), *order)
+    ranged.sortWithinPartitions(*order, "ids").mapInPandas(blocks, BLOCK).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -208,6 +221,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    few = sizes.count() <= SENT_BLOCKS
     starts = inside.join(before, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
 
     def digests(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,4 +234,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(row.doc_ids, "Int64"), "start": row.start + begins, "n_tokens": ends - begins, "ids_crc32": crcs, "n_symbols": np.diff(block.symbol_ends, prepend=0)})
 
-    return found.join(starts, ["part", "seq"]).mapInPandas(digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_symbols bigint")
+    return found.join(F.broadcast(starts) if few else starts, ["part", "seq"]).mapInPandas(digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_symbols bigint")

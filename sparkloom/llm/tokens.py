@@ -6,6 +6,8 @@ import functools
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -21,17 +23,17 @@ class Encoder:
     """Ids of a text, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     A byte-level BPE with the usual split pattern never joins what lies before and after a lone space
-    or a lone line end: a space begins a piece of its own, a line end is one. So such texts
+    or a lone line end: a space begins a piece of its own, a line end is one. Of a longer run of white space all but the last character are one
+    piece, and the last is like a lone one. So texts
     are cut there and their pieces, which repeat across texts, are kept; a piece of letters, which the split pattern
-    leaves whole, goes to the tokenizer's model directly. Texts with two white space
-    characters in a row, and tokenizers of another kind, are encoded whole. At
-    most ``most`` pieces are kept, in two halves: the older half goes first.
+    leaves whole, goes to the tokenizer's model directly. Texts with a run that also hold an added token, and tokenizers of another kind, are encoded
+    whole. At most ``most`` pieces are kept, in two halves: the older half goes first.
     """
 
     TOGETHER = re.compile(r"\s\s")
     LONG = 64
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,6 +49,9 @@ class Encoder:
             and not before.get("add_prefix_space")
             and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) or x["content"].isalpha() for x in added)
         )
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.added = tuple(x["content"] for x in added)
+        self.run = functools.lru_cache(maxsize=1024)(self.whole)
         self.most = most
         self.line_end = self.whole("\n")
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
@@ -56,22 +61,38 @@ class Encoder:
 
     def letters(self, piece: str) -> bytes:
         """Ids of letters after at most one space: one piece of the split pattern."""
-        raw = piece.encode().decode("latin-1").translate(BYTE_NAMES)
-        return np.array([x.id for x in self.model.tokenize(raw)], self.kind).tobytes()
+        if piece.isascii():  # letters are named by themselves, so only the space is not
+            raw = piece.replace(" ", SPACE_NAME)
+        else:
+            raw = piece.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = array(self.code, [x.id for x in self.model.tokenize(raw)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def packed(self, text: str | None) -> bytes:
         """Ids as little-endian numbers of ``kind``; null has none."""
         if not text:
             return b""
-        if not self.cuts or self.TOGETHER.search(text):
+        if not self.cuts:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        out = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        if self.TOGETHER.search(text):
+            if any(x in text for x in self.added):
+                return self.whole(text)
+            out = b"".join(self.around(run) + (self.spaced if run.endswith(" ") else self.bare)[word] if word else self.run(run) for run, word in PARTS.findall(text) if run or word)
+        else:
+            first, *rest = text.split(" ")
+            out = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
         for x in (self.spaced, self.bare):
             if len(x) > self.most // 2:
                 x.turn()
         return out
 
+    def around(self, run: str) -> bytes:
+        """Ids of the white space before a word but for a last space, which is the word's."""
+        head, last = run[:-1], run[-1:]
+        return (self.run(head) if head else b"") + (self.run(last) if last and last != " " else b"")
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.kind)
 
@@ -83,6 +104,7 @@ def byte_names() -> dict[int, int]:
 
 
 BYTE_NAMES = byte_names()
+SPACE_NAME = chr(BYTE_NAMES[ord(" ")])
 
 
 class _Pieces(dict):
@@ -117,11 +139,14 @@ class _Pieces(dict):
         return owner.whole(self.lead + piece) if self.lead or piece else b""
 
 
+#: White space of the split pattern (the Unicode property), and runs of it with the word that follows.
+GAP = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PARTS = re.compile(f"([{GAP}]*)([^{GAP}]*)")
 #: Marks that follow words; none is a letter, a digit or white space.
 MARKS = ".,;:!?*%&#$|"
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 600_000) -> Encoder:
     """One a worker process and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, most)
