@@ -9,11 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
 from sparkloom.functions import titles
+from sparkloom.operators import dedup
 
 #: Fixed lists: where to cut, best first.
 PARENT_CUTS = ["\n\n", "\n", ". ", "! ", "? ", " ", ""]
@@ -92,26 +93,33 @@ def splitter(cuts: list[str]):
 def header_sections(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Sections under markdown headers of level 1 to 5, headers kept in the text.
 
-    Adds ``section`` (from 0), ``headers`` (five, null where not set) and the section's ``text``. Lines go into one row again by
-    array functions over the row's own lines, so nothing is shuffled. Lines between code fences are no headers. Sections without text but a header are kept.
+    Adds ``section`` (from 0), ``headers`` (five, null where not set) and the section's ``text``. The text is cut at lines that open or close a code fence, headers outside of fences get a mark with their level, and
+    the text is split at the marks of each level inside the pieces of the level above: every step reads the text once, and nothing is shuffled. Sections without text but a header are kept. Null text is one empty section.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    empty = F.array(*[F.lit(None).cast("string")] * 5)
-    kind = "array<struct<headers:array<string>,lines:array<string>>>"
-    start = F.struct(F.array().cast(kind).alias("done"), empty.alias("headers"), F.array().cast("array<string>").alias("lines"), F.lit(False).alias("fenced"))
+    mark, kept = "\x01", "\x010"  # a mark that a text holds itself is written with a 0 after it
+    whole = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(mark), F.lit(kept))
+    first = whole.rlike("^ *(?:```|~~~)").cast("int")
 
-    def step(a: Column, line: Column) -> Column:
-        fence = F.ltrim(line).startswith("```") | F.ltrim(line).startswith("~~~")
-        level = F.when(~a.fenced & ~fence, F.length(F.regexp_extract(line, "^(#{1,5})\\s+\\S", 1))).otherwise(0)
-        name = F.trim(F.regexp_replace(line, "^#{1,5}\\s+", ""))
-        carried = F.array(*[F.when(F.lit(k) < level, F.get(a.headers, F.lit(k - 1))).when(F.lit(k) == level, name) for k in range(1, 6)])
-        flushed = F.when(F.size(a.lines) > 0, F.array_append(a.done, F.struct(a.headers.alias("headers"), a.lines.alias("lines")))).otherwise(a.done)
-        opened = F.struct(flushed.alias("done"), carried.alias("headers"), F.array(line).alias("lines"), F.lit(False).alias("fenced"))
-        same = F.struct(a.done.alias("done"), a.headers.alias("headers"), F.array_append(a.lines, line).alias("lines"), (a.fenced != fence).alias("fenced"))
-        return F.when(level > 0, opened).otherwise(same)
+    def marked(part: Column) -> Column:
+        for level in range(1, 6):
+            part = F.regexp_replace(part, f"(?md)^(#{{{level}}})(?=[^\\S\\n]+\\S)", f"{mark}{level}$1")
+        return part
 
-    close = lambda a: F.when(F.size(a.lines) > 0, F.array_append(a.done, F.struct(a.headers.alias("headers"), a.lines.alias("lines")))).otherwise(a.done)
-    return docs.select(*keys, F.posexplode(F.aggregate(lines, start, step, close)).alias("section", "s")).select(*keys, "section", F.col("s.headers").alias("headers"), t.stripped(F.array_join("s.lines", "\n")).alias("text"))
+    fences = F.split(whole, "(?md)(?=^ *(?:```|~~~))", -1)
+    rooted = F.array_join(F.transform(fences, lambda part, k: F.when((k + first) % 2 == 0, marked(part)).otherwise(part)), "")
+    name = lambda part: F.trim(F.regexp_replace(F.replace(F.substring_index(part, "\n", 1), F.lit(kept), F.lit(mark)), "^#{1,5}\\s+", ""))
+
+    def below(group: Column, level: int, above: list[Column]) -> Column:
+        if level > 5:
+            return F.array(F.struct(F.array(*above).alias("headers"), group.alias("body")))
+        parts = F.split(group, f"{mark}{level}", -1)
+        cut = F.transform(parts, lambda part, k: F.struct(F.when(k > 0, name(part)).alias("name"), part.alias("body")))
+        # What stands before the first mark is no section where it is empty and marks follow.
+        held = F.filter(cut, lambda x, k: (k > 0) | (x.body != "") | (F.size(parts) == 1))
+        return F.flatten(F.transform(held, lambda x: below(x["body"], level + 1, [*above, x["name"]])))
+
+    found = docs.select(*keys, rooted.alias("_rooted")).select(*keys, F.posexplode(below(F.col("_rooted"), 1, [])).alias("section", "s"))
+    return found.select(*keys, "section", F.col("s.headers").alias("headers"), t.stripped(F.replace("s.body", F.lit(kept), F.lit(mark))).alias("text"))
 
 
 def fixed_windows(docs: DataFrame, keys: list[str], size: int, overlap: int, text: str = "text") -> DataFrame:
@@ -143,8 +151,8 @@ def child_text(raw: Column, title: Column, context: Column) -> Column:
 def parents(docs: DataFrame) -> DataFrame:
     """Parent chunks of ``(source, title, type, record_index, text)`` with ids.
 
-    A title line goes first, then sections by header, then the splitter for sections that are too long. Short chunks are dropped before positions are given. Positions count within a source:
-    chunks are numbered inside each record first, and records get offsets from their counts, so one source's texts never meet in one task.
+    A title line goes first, then sections by header, then the splitter for sections that are too long. Short chunks are dropped before positions are given. Positions count within a source
+    by offsets, so one source's texts never meet in one task.
     """
     rooted = docs.withColumn("text", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.regexp_replace("text", f"^{t.WHITE}+", "")))
     keys = ["source", "title", "type", "record_index"]
@@ -152,13 +160,9 @@ def parents(docs: DataFrame) -> DataFrame:
     size, overlap = size_of(F.col("type"), "parent"), size_of(F.col("type"), "parent_overlap")
     pieces = F.when(F.length("text") > size, splitter(PARENT_CUTS)("text", size, overlap)).otherwise(F.array("text"))
     chunks = sections.select(*keys, "section", "headers", F.posexplode(pieces).alias("piece", "text")).where(F.length(t.stripped(F.col("text"))) >= MIN_PARENT)
-    inside = F.row_number().over(Window.partitionBy("source", "record_index").orderBy("section", "piece")) - 1
-    numbered = chunks.withColumn("inside", inside)
-    counts = numbered.groupBy("source", "record_index").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("record_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = numbered.join(before, ["source", "record_index"]).withColumn("chunk_pos", (F.col("before") + F.col("inside")).cast("long"))
+    placed = dedup.running_position(chunks, "source", ["record_index", "section", "piece"])
     told = placed.withColumn("text", with_document_line(F.col("text"), F.col("title")))
-    return told.withColumn("parent_id", parent_id(F.col("source"), F.col("chunk_pos"), F.col("text"))).drop("inside", "before", "section", "piece")
+    return told.withColumn("parent_id", parent_id(F.col("source"), F.col("chunk_pos"), F.col("text"))).drop("section", "piece")
 
 
 def children(found: DataFrame) -> DataFrame:

@@ -61,6 +61,24 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
 
 
+#: Neighbouring record numbers whose offsets one task may compute.
+RECORD_BLOCK = 65_536
+
+
 def running_position(rows: DataFrame, by: str, order: list[str], name: str = "chunk_pos") -> DataFrame:
-    """Position of each row in its group, from 0."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    """Position of each row in its group, from 0, in the order of ``order``: a record's integer number first, then places inside the record.
+
+    Rows are numbered inside their record only. Records get offsets from counts, in blocks of ``RECORD_BLOCK`` neighbouring numbers, and blocks from the counts of blocks,
+    so a group of any size never meets in one task. Null groups and null numbers are groups and records like others; nulls come first.
+    """
+    number, *inside = order
+    before = lambda *own: Window.partitionBy(*own[:-1]).orderBy(own[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda window: F.coalesce(F.sum("_n").over(window), F.lit(0))
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col(number).alias("_number")).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_number") / RECORD_BLOCK))
+    blocks = counts.groupBy("_by", "_block").agg(F.sum("_n").alias("_n")).select(F.col("_by").alias("_b"), F.col("_block").alias("_k"), offset(before("_by", "_block")).alias("_blocks"))
+    records = counts.withColumn("_records", offset(before("_by", "_block", "_number"))).join(blocks, F.col("_by").eqNullSafe(F.col("_b")) & F.col("_block").eqNullSafe(F.col("_k")))
+    starts = records.select("_by", "_number", (F.col("_blocks") + F.col("_records")).alias("_start"))
+    own = Window.partitionBy(by, number).orderBy(*(inside or [number]))
+    numbered = rows.withColumn("_inside", F.row_number().over(own) - 1)
+    placed = numbered.join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col(number).eqNullSafe(F.col("_number")))
+    return placed.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_by", "_number", "_start", "_inside")

@@ -190,12 +190,12 @@ IDS = f"WITH {WINDOWS}, p AS (SELECT d.source, w.doc_id, w.pos, w.chunk, row_num
 
 def identified(spark, sf):
     """Windows as parents: title lines, positions within the source, ids."""
-    rows = windows(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    rows = chunks.fixed_windows(table(spark, sf, "documents"), ["doc_id", "source"], 400, 80)
     rows = dedup.running_position(rows, "source", ["doc_id", "pos"]).withColumn("told", chunks.with_document_line(F.col("chunk"), F.col("source")))
     return rows.withColumn("parent_id", chunks.parent_id(F.col("source"), F.col("chunk_pos"), F.col("told")))
 
 
-@query("chunk_ids", IDS + " SELECT doc_id, CAST(pos AS INT) AS pos, CAST(chunk_pos AS INT) AS chunk_pos, parent_id, sha256(parent_id || '::c0::' || chunk) AS child_id FROM q")
+@query("chunk_ids", IDS + " SELECT doc_id, CAST(pos AS INT) AS pos, chunk_pos, parent_id, sha256(parent_id || '::c0::' || chunk) AS child_id FROM q")
 def chunk_ids(spark, sf):
     return identified(spark, sf).select("doc_id", "pos", "chunk_pos", "parent_id", chunks.child_id(F.col("parent_id"), F.lit(0), F.col("chunk")).alias("child_id"))
 
