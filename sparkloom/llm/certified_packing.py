@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text:
         encode = tokens.encoder(vocabulary_file)
         for x in parts:
             out = []
-            for key, body in zip(x["doc_id"], x["text"], strict=True):
-                ids = np.append(encode.ids(body), encode.kind.type(end_id)).astype("<u4")
+            for key, packed in zip(x["doc_id"], encode.packed_all(x["text"]), strict=True):
+                ids = np.append(np.frombuffer(packed, encode.kind), encode.kind.type(end_id)).astype("<u4")
                 raw, first = ids.tobytes(), len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 out += [(key, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]

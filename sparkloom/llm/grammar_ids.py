@@ -174,7 +174,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, id_col: str =
         encode = tokens.encoder(vocabulary_file, KEPT_PIECES)
         end = np.array([END_ID], encode.kind).tobytes()
         for x in parts:
-            raw = [encode.packed(body) + end for body in x["text"]]
+            raw = [ids + end for ids in encode.packed_all(x["text"])]
             yield pd.DataFrame({"doc_id": x["doc_id"], "no_id": x["no_id"], "n_tokens": [len(r) // encode.kind.itemsize for r in raw], "ids": raw})
 
     def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

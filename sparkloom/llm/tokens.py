@@ -8,8 +8,11 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,11 +30,16 @@ class Encoder:
     piece, and the last is like a lone one. So texts
     are cut there and their pieces, which repeat across texts, are kept; a piece of letters, which the split pattern
     leaves whole, goes to the tokenizer's model directly. Texts with a run that also hold an added token, and tokenizers of another kind, are encoded
-    whole. At most ``most`` pieces are kept, in two halves: the older half goes first.
+    whole. At most ``most`` pieces are kept in each of two forms, and the older half goes first.
+
+    ``packed_all`` takes many texts: Arrow splits about ``STRETCH`` characters at a time, finds their pieces among at most ``most`` known ones and puts their ids
+    in place, so that Python sees new pieces only.
     """
 
     TOGETHER = re.compile(r"\s\s")
-    LONG = 64
+    LONG, STRETCH = 64, 8_000_000
+    #: Before the first piece of a text. After a space no other piece begins with white space but with a line end, for runs go another way.
+    FIRST = "\r"
 
     def __init__(self, path: str, most: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,6 +61,7 @@ class Encoder:
         self.added = tuple(x["content"] for x in added)
         self.run = functools.lru_cache(maxsize=1024)(self.whole)
         self.most = most
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.line_end = self.whole("\n")
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
 
@@ -83,10 +92,80 @@ class Encoder:
         else:
             first, *rest = text.split(" ")
             out = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        self.turn()
+        return out
+
+    def turn(self) -> None:
         for x in (self.spaced, self.bare):
-            if len(x) > self.most // 2:
+            if len(x) > self.most // 4:
                 x.turn()
-        return out
+
+    def packed_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """``packed`` of each text, in order."""
+        held: list[str] = []  # stretches of texts
+        owners: list[tuple[int, bytes]] = []  # by text: its stretches, or ids that are known
+        size = 0
+        for text in texts:
+            if not text or not self.cuts or self.TOGETHER.search(text):
+                owners.append((0, self.packed(text)))
+            else:
+                before = len(held)
+                held += self.stretches(text)
+                owners.append((len(held) - before, b""))
+                size += len(text)
+            if size >= self.STRETCH or len(owners) >= 20_000:
+                yield from self.placed(held, owners)
+                held, owners, size = [], [], 0
+        yield from self.placed(held, owners)
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """The text with a space before each line end, cut at spaces into parts of about ``STRETCH`` characters."""
+        spaced, at = self.FIRST + text.replace("\n", " \n"), 0
+        while (end := spaced.find(" ", at + self.STRETCH)) >= 0:
+            yield spaced[at:end]
+            at = end + 1
+        yield spaced[at:]
+
+    def placed(self, held: list[str], owners: list[tuple[int, bytes]]) -> Iterator[bytes]:
+        ready: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for k, part in enumerate(held):
+            group.append(part)
+            size += len(part)
+            if size >= self.STRETCH or k == len(held) - 1:
+                ready += self.joined(group)
+                group, size = [], 0
+        at = 0
+        for n, known in owners:
+            yield (ready[at] if n == 1 else b"".join(ready[at : at + n])) if n else known
+            at += n
+
+    def joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of each stretch by its pieces between spaces."""
+        split = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        words = split.flatten()
+        at = pc.index_in(words, value_set=self.known)
+        unknown = words.filter(at.is_null()).dictionary_encode()
+        fresh = pa.array(map(self.piece, unknown.dictionary.to_pylist()), pa.large_binary())
+        self.turn()
+        every = pa.concat_arrays([self.known_ids, fresh])
+        spot = at.fill_null(0).to_numpy().astype(np.int64)
+        spot[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + unknown.indices.to_numpy()
+        short = pc.less_equal(pc.binary_length(unknown.dictionary), 4 * self.LONG)
+        self.known = pa.concat_arrays([self.known, unknown.dictionary.filter(short)])
+        self.known_ids = pa.concat_arrays([self.known_ids, fresh.filter(short)])
+        if len(self.known) > self.most:  # the newer ones stay
+            self.known, self.known_ids = (x.slice(len(x) - self.most // 2) for x in (self.known, self.known_ids))
+        _, ends, ids = every.take(pa.array(spot)).buffers()
+        cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].to_pybytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def piece(self, piece: str) -> bytes:
+        lead = piece[:1]
+        if lead == self.FIRST:
+            return self.bare[piece[1:]]
+        return self.line_end + self.bare[piece[1:]] if lead == "\n" else self.spaced[piece]
 
     def around(self, run: str) -> bytes:
         """Ids of the white space before a word but for a last space, which is the word's."""
