@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import certified_packing, chat_layouts, containment, grammar_ids, jump_shards, license_patience, odd_sketches, rule_ledger, secret_novelty, tokens, toxicity_chain
+from sparkloom.llm import bit_sliced, certified_packing, chat_layouts, containment, grammar_ids, interaction_audit, jump_shards, license_patience, odd_sketches, periodic_runs, rule_ledger, secret_novelty, tokens, toxicity_chain
 from sparkloom.llm.common import shared_dir, written
 from sparkloom.session import table
 
@@ -78,3 +79,32 @@ def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 15 of all documents, and the shard with one more."""
     return jump_shards.assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op11_bitmap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of five filters over all documents, by language, with what they cost in good and save in toxic documents."""
+    flags = interaction_audit.failures(table(spark, sf_dir, "documents"))
+    rows = interaction_audit.labelled(flags, table(spark, sf_dir, "labels"), {"good": "quality = 1", "toxic": "toxic = 1"})
+    return interaction_audit.report(interaction_audit.subset_counts(rows))
+
+
+def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints differ in three bits at most."""
+    return bit_sliced.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def repeated_tail(key: int | None, found: list[bytes]) -> list[bytes]:
+    """For a tenth of the ids, the words from some place on are a few words said again and again."""
+    h = zlib.crc32(str(key).encode()) if key is not None else 1
+    n = len(found)
+    if h % 10 or not n:
+        return found
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return found[:a] + (found[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of which end in a repetition."""
+    return periodic_runs.scan(table(spark, sf_dir, "documents"), repeated_tail)

@@ -16,7 +16,11 @@ QUERIES = {
     "op8_containment": q.op8_containment,
     "op9_certified_packing": q.op9_certified_packing,
     "op10_jump_shards": q.op10_jump_shards,
+    "op11_bitmap_audit": q.op11_bitmap_audit,
+    "op12_bit_sliced": q.op12_bit_sliced,
+    "op13_periodic_runs": q.op13_periodic_runs,
 }
 ORACLES = {
     "op2_rule_ledger": sql.RULE_LEDGER,
+    "op11_bitmap_audit": sql.BITMAP_AUDIT,
 }

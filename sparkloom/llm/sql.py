@@ -39,3 +39,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM b
 """
+
+BITMAP_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (
+  SELECT doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+         100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 3 * length(body) AS c, regexp_matches(body, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY body) < doc_id, false) AS e
+  FROM t
+),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+g AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL
+),
+p AS (
+  SELECT part, list_filter([CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END], lambda x: x IS NOT NULL) AS fails, n, n_good, n_toxic
+  FROM g
+),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (
+  SELECT v.k || w.k || x.k || y.k || z.k AS filter_order
+  FROM x v, x w, x, x y, x z WHERE len(list_distinct([v.k, w.k, x.k, y.k, z.k])) = 5
+),
+s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+m AS (SELECT filter_order, step, filter_order[step] AS own, string_split(left(filter_order, step - 1), '') AS earlier FROM s),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (NOT list_contains(fails, own) AND NOT list_has_any(fails, earlier)) AS kept,
+         sum(n) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, earlier)) AS removed,
+         sum(n) FILTER (list_contains(fails, own) AND list_has_any(fails, earlier)) AS redundant,
+         sum(n) FILTER (fails = [own]) AS unique_fails,
+         sum(n_good) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, earlier)) AS good_lost,
+         sum(n_toxic) FILTER (list_contains(fails, own) AND NOT list_has_any(fails, earlier)) AS toxic_lost
+  FROM p, m GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM r
+"""
