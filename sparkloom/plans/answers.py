@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import history, vectors
+from sparkloom.operators import history, postings, vector_index, vectors
 from sparkloom.plans import flow
 from sparkloom.plans.registry import query
-from sparkloom.session import cut, table
+from sparkloom.session import cut, scratch, table
 
 #: Queries are the vectors whose id this divides; they are held against all vectors.
 EVERY = 20
@@ -42,6 +42,27 @@ def parent_lookup_fallback(spark, sf):
     return vectors.with_parents(hits(spark, sf).join(vecs, "vec_id"), parents).select("qid", "vec_id", "text", "from_parent")
 
 
+def indexed(spark, sf, certified: bool):
+    """The same search through an index that is built here."""
+    vecs = table(spark, sf, "embeddings")
+    path = scratch(spark, "vectors")
+    vector_index.build(vecs, vector_index.fitted(vecs), path)
+    queries = vecs.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return vector_index.search(path, queries, vecs, certified=certified)
+
+
+@query("knn_index_top20")
+def knn_index_top20(spark, sf):
+    """By codes, then whole vectors: nearly the hits of ``knn_top20``; the tests measure how nearly."""
+    return indexed(spark, sf, certified=False)
+
+
+@query("knn_index_certified20", f"WITH {KNN} SELECT qid, vec_id, score, CAST(rank AS INT) AS rank FROM h")
+def knn_index_certified20(spark, sf):
+    """Exact, by bounds on what a cell can hold."""
+    return indexed(spark, sf, certified=True)
+
+
 @query("mmr_select")
 def mmr_select(spark, sf):
     return vectors.diverse(hits(spark, sf, 60), table(spark, sf, "embeddings"))
@@ -77,6 +98,24 @@ def context_concat(spark, sf):
     return vectors.context(ranked(spark, sf).join(texts, "doc_id")).select("qid", F.sha2("context", 256).alias("hash"))
 
 
+BM25 = r"""x AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM benchmark),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), []) AS terms FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean FROM d),
+f AS (SELECT doc_id, length, term, count(*) AS f FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM d) GROUP BY ALL),
+i AS (SELECT term, ln(1 + (n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, s GROUP BY term, n_docs),
+p AS (SELECT qid, doc_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM x JOIN f USING (term) JOIN i USING (term), s GROUP BY qid, doc_id)
+SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS place FROM p QUALIFY place <= 10"""
+
+
+@query("bm25_top10", f"WITH {BM25}")
+def bm25_top10(spark, sf):
+    """Every question against an index of all documents that is built here."""
+    path = scratch(spark, "postings")
+    postings.build(table(spark, sf, "documents"), path)
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return postings.bm25_best(spark, path, items).select("qid", "doc_id", "score", "place")
+
+
 SPOKEN = "t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant'))"
 
 
