@@ -21,20 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import tokens
-from sparkloom.llm.common import spread, written
+from sparkloom.llm.common import by_batch, spread, written
 
-PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = "row bigint, length bigint, bin bigint, offset bigint, open boolean, group_bins bigint, group_bound bigint"
 
 
 def pieces(docs: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of all documents, with the digest of their ids."""
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         encode = tokens.encoder(vocabulary_file)
         for x in parts:
             out = []
@@ -43,10 +44,9 @@ def pieces(docs: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text:
                 raw, first = ids.tobytes(), len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 out += [(key, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECE)
+    return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), cut, PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

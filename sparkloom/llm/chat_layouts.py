@@ -4,8 +4,9 @@ The fingerprint of a record is the hash of its sorted nested field paths. It sel
 fields takes the mapping with the most fields of those it contains. Turns are formatted row by
 row, so a conversation of any length is never gathered; only its digest reads it in order.
 
-Defined results. Null text is empty, a null role is the empty role. Turns are ordered by turn (null first), then role, then
-text, so ties and repeated rows have one order. Records of no known layout give no turns and are listed by ``unmapped``. Empty
+Defined results. Null text is empty, a null role is the empty role. Turns are ordered by turn (null first), then the escaped role, then the
+escaped text, so ties and repeated rows have one order. Records of no known layout give no turns, items of a list that are not objects neither; ``unmapped`` lists both. A record's own turn counts
+if it is a whole number of 64 bits, else it is 0. Empty
 tables give empty results. Extra columns are left out. Texts and roles may hold any control string: the three characters that begin one are escaped, reversibly.
 """
 
@@ -17,11 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TURNS = "conv_id bigint, turn bigint, role string, text string"
+from sparkloom.llm.common import by_batch
+
+TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -103,10 +107,14 @@ def record_turns(record, layout: Layout) -> list[tuple[str, str]]:
     return [(ROLES.get(r := said(record.get(layout.role)), r), said(record.get(layout.text)))]
 
 
+def place_of(turn) -> int:
+    return turn if isinstance(turn, int) and not isinstance(turn, bool) and abs(turn) < 1 << 63 else 0
+
+
 def from_json(records: DataFrame, id_col: str = "conv_id", record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Turns of JSON records, each with the mapping its own fingerprint selects."""
 
-    def convert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def convert(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         known: dict[str, Layout | None] = {}
         for x in parts:
             out = []
@@ -121,11 +129,11 @@ def from_json(records: DataFrame, id_col: str = "conv_id", record: str = "record
                 if (own := fingerprint(paths)) not in known:
                     known[own] = layout_of(paths, layouts)
                 if found := known[own]:
-                    first = value.get("turn", 0) if not (found.items or found.turns) else 0
+                    first = place_of(value.get("turn")) if not (found.items or found.turns) else 0
                     out += [(key, first + k, role, text) for k, (role, text) in enumerate(record_turns(value, found))]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+            yield out
 
-    return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record).alias("record")).mapInPandas(convert, TURNS)
+    return by_batch(records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record).alias("record")), convert, TURNS)
 
 
 def from_rows(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -139,7 +147,7 @@ def from_rows(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFra
 
 
 def unmapped(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Records that no layout fits, with their fingerprint (null where they are not JSON objects)."""
+    """Records that no layout fits, or with items that are left out, with their fingerprint (null where they are not JSON objects)."""
 
     @F.pandas_udf("fingerprint string, layout string")
     def look(raws: pd.Series) -> pd.DataFrame:
@@ -151,7 +159,9 @@ def unmapped(records: DataFrame, record: str = "record", layouts: tuple[Layout,
                 value = None
             paths = value_paths(value) if isinstance(value, dict) else None
             found = paths and layout_of(paths, layouts)
-            out.append((paths and fingerprint(paths) or None, found.name if found else None))
+            items = value.get(found.items) if found and found.items else None
+            whole = found and all(isinstance(v, dict) for v in items or [])
+            out.append((paths and fingerprint(paths) or None, found.name if whole else None))
         return pd.DataFrame(out, columns=["fingerprint", "layout"])
 
     return records.withColumn("look", look(F.col(record))).where("look.layout IS NULL").select("*", "look.fingerprint").drop("look")
@@ -219,5 +229,6 @@ def digests(segments: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
 
     rows = segments.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("no_id"), "turn", "segment", "loss_start", "loss_end")
-    order = ["no_id", "conv_id", "turn", "segment"]
-    return rows.repartition("no_id", "conv_id").sortWithinPartitions(*order).mapInPandas(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    # The head ends with its mark, which would part a role from a longer one.
+    role = F.expr(f"substring(segment, {len(OPEN) + 1}, int(loss_start) - {len(OPEN) + len(CLOSE)})")
+    return rows.repartition("no_id", "conv_id").sortWithinPartitions("no_id", "conv_id", "turn", role, "segment").mapInPandas(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -23,14 +23,15 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import mixed, shingle_hashes, spread, words
+from sparkloom.llm.common import by_batch, mixed, shingle_hashes, spread, words
 
 SIZE = 5
-FOUND = "doc_id bigint, item_id bigint, n_shared bigint, n_item_shingles bigint, containment double"
+FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item_shingles", pa.int64()), ("containment", pa.float64())])
 
 
 def least_hits(hashes: int, share: float, miss: float) -> int:
@@ -134,12 +135,11 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_id: s
     for index in indexes(items, item_id, text, share, block_bytes):
         sent = context.broadcast(index)
 
-        def look(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def look(parts: Iterator[dict[str, list]], sent=sent) -> Iterator[list[tuple]]:
             for x in parts:
-                found = [(key, i, shared, size, shared / size) for key, body in zip(x["doc_id"], x["text"], strict=True) for i, shared, size in sent.value.search(body)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "n_shared", "n_item_shingles", "containment"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                yield [(key, i, shared, size, shared / size) for key, body in zip(x["doc_id"], x["text"], strict=True) for i, shared, size in sent.value.search(body)]
 
-        made = rows.mapInPandas(look, FOUND)
+        made = by_batch(rows, look, FOUND)
         out = made if out is None else out.unionByName(made)
     return out
 

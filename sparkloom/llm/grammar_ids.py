@@ -21,20 +21,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import tokens
-from sparkloom.llm.common import spread, written
+from sparkloom.llm.common import by_batch, spread, written
 
 END_ID = 0
 #: Pieces whose ids a worker keeps; starts of this many blocks are sent to all executors (a few bytes each), beyond it they are joined by a shuffle.
 KEPT_PIECES, SENT_BLOCKS = 1_200_000, 500_000
 BLOCK = "part int, seq int, doc_ids array<bigint>, token_ends array<bigint>, symbol_ends array<bigint>, n_tokens bigint, base int, width int, rules binary, expansions binary, symbols binary"
+READ = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "n_tokens", "ids_crc32", "n_symbols")])
 
 
 def disjoint(lefts: list[int], rights: list[int], stop: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,14 +227,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     few = sizes.count() <= SENT_BLOCKS
     starts = inside.join(before, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
 
-    def digests(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in rows:
-            for row in x.itertuples(index=False):
-                block = Block(row)
+    def digests(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+        for x in parts:
+            for k in range(len(x["part"])):
+                block = Block(SimpleNamespace(**{name: column[k] for name, column in x.items()}))
                 ids = block.expand(block.symbols).astype("<u4")
                 ends = block.token_ends
                 begins = np.concatenate([[0], ends[:-1]])
-                crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(row.doc_ids, "Int64"), "start": row.start + begins, "n_tokens": ends - begins, "ids_crc32": crcs, "n_symbols": np.diff(block.symbol_ends, prepend=0)})
+                sizes, spans = (ends - begins).tolist(), np.diff(block.symbol_ends, prepend=0).tolist()
+                yield [(key, x["start"][k] + at, n, zlib.crc32(ids[at : at + n].tobytes()), m) for key, at, n, m in zip(block.doc_ids, begins.tolist(), sizes, spans, strict=True)]
 
-    return found.join(F.broadcast(starts) if few else starts, ["part", "seq"]).mapInPandas(digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_symbols bigint")
+    joined = found.join(F.broadcast(starts) if few else starts, ["part", "seq"])
+    return by_batch(joined, digests, READ)

@@ -3,24 +3,28 @@
 Text and template are aligned on the words that occur once in both: their longest increasing
 subsequence fixes anchors, and the gaps between anchors are aligned the same way, again and again. The share of the template's
 words that are matched is its coverage. Alignment runs in windows of the whole text where words of a
-template occur, so a document of any length costs one pass, and a license that is given twice is found twice.
+template occur, so a document of any length costs one pass. In a window that holds a notice twice no word is unique, so each start is aligned on its own stretch
+as well, and on what lies before the next start: a license that is given twice is found twice.
 
-Defined results. Null and empty texts have no licenses. Ties between templates on the same words go to the one with more matched
-words, then the higher coverage, then the name. Rows are independent, so repeats change nothing; empty tables give empty results; extra columns are left out.
+Defined results. Null and empty texts have no licenses. Finds don't overlap: the one with more matched words, less the foreign words between them, goes before, then the higher coverage, then the name, then the
+shorter span, then the first. Rows are independent, so repeats change nothing; empty tables give empty results; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import by_batch
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()), ("coverage", pa.float64()), ("spans", pa.string())])
 #: Fixed texts: how licenses are named in a line, and the opening of their notices.
 TEMPLATES = {
     "all-rights-reserved": ("All rights reserved.",),
@@ -143,32 +147,40 @@ class Scanner:
         for k, near in starts.items():
             t = self.templates[k]
             n, slack = len(t.words), max(2, len(t.words) // 4)
-            at = None
-            for begin in sorted(near):
-                if at is not None and begin - at <= slack:
-                    continue
-                at = begin
-                lo, hi = max(0, begin - slack), min(len(found), begin + n + 2 * slack)
-                pairs = aligned(found[lo:hi], t.words)
+            at, begins = None, sorted(near)
+            windows = set()
+            for begin in begins:
+                if at is None or begin - at > slack:
+                    at = begin
+                    windows.add((max(0, begin - slack), min(len(found), begin + n + 2 * slack)))
+                after = bisect_left(begins, begin + t.need)
+                last = min(len(found), begin + n + 2 * slack, *begins[after : after + 1])
+                windows |= {(max(0, begin), min(len(found), begin + n)), (max(0, begin), last)}
+            for lo, hi in sorted(windows):
+                pairs = aligned(found[lo:hi], t.words) if hi - lo >= t.need else []
                 if pairs and len(pairs) >= t.need:
-                    hits.append((-len(pairs), -len(pairs) / n, t.name, spots[lo + pairs[0][0]][1], spots[lo + pairs[-1][0]][2]))
+                    first, last = lo + pairs[0][0], lo + pairs[-1][0]
+                    foreign = max(0, last - first + 1 - n)
+                    hits.append((foreign - len(pairs), -len(pairs) / n, t.name, last - first, spots[first][1], spots[last][2]))
         out: list[tuple[int, int, str, float]] = []
-        for _, share, name, a, b in sorted(hits):
-            if all(b <= x or y <= a for x, y, *_ in out):
-                out.append((a, b, name, -share))
-        return sorted(out)
+        for _, share, name, _, a, b in sorted(set(hits)):
+            # Chosen spans are sorted and apart, so the neighbours alone can overlap.
+            k = bisect_left(out, (a,))
+            if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0]):
+                insort(out, (a, b, name, -share))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Licenses of every text: their names and spans by start, and the best coverage (0 without one)."""
 
-    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         scanner = Scanner(templates, coverage)
         for x in parts:
             out = []
             for key, body in zip(x["doc_id"], x["text"], strict=True):
                 found = scanner.scan(body)
                 out.append((key, len(found), ",".join(s[2] for s in found), max((s[3] for s in found), default=0.0), ",".join(f"{n}:{a}:{b}" for a, b, n, _ in found)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_licenses", "licenses", "coverage", "spans"]).astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(look, "doc_id bigint, n_licenses bigint, licenses string, coverage double, spans string")
+    return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), look, FOUND)

@@ -30,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import joined_by, relieved, shingle_hashes, words, written
+from sparkloom.llm.common import by_batch, joined_by, relieved, shingle_hashes, words, written
 
 BANDS, ROWS, SAMPLES, BITS = 30, 3, 384, 4096
 CELL = ["key", "kind", "lo", "hi"]
-FEATURES = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 #: Ids that are sent to all executors at once, 8 bytes each; beyond it ids are joined by a shuffle.
 SENT_IDS = 500_000
 
@@ -82,7 +83,7 @@ def most_differing(share: float) -> int:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         for x in parts:
             out = []
             for key, body in zip(x["doc_id"], x["text"], strict=True):
@@ -92,9 +93,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                     out.append((key, len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(low), odd_sketch(low)))
                 else:
                     out.append((key, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "bands", "sketch"]).astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(relieved(look), FEATURES)
+    return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), look, FEATURES)
 
 
 def reachable(n_a, n_b, share: float):

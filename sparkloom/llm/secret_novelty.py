@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard can't shorten.
 
-Base kinds are the three patterns. Beyond them, in a sensitive context each candidate string that no base span
-touches is measured: the bytes that it adds to a zstandard frame of its surroundings, primed with
+Base kinds are the three patterns. Beyond them, in a sensitive context each candidate string that base spans don't
+cover is measured, whole even where they cover a part of it: the bytes that it adds to a zstandard frame of its surroundings, primed with
 a dictionary of ordinary long words, identifiers and code. A string that adds nearly as many bytes as random characters would is reported as
 ``novel``, whatever its characters; so is a word, name or number of 12 characters or more that the dictionary does not shorten.
 
@@ -19,14 +19,16 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import by_batch
 from sparkloom.llm.long_words import WORDS
 
+FOUND = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_novel", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns; ASCII letters of the names in either case.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -124,10 +126,15 @@ def spans(text: str | None, ratio: float = 0.7) -> list[tuple[int, int, str]]:
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     base, fresh = sorted(out), []
     if any(x in folded for x in ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature")):
-        base_starts, base_reach = [x for x, *_ in base], list(accumulate((y for _, y, _ in base), max))
+        covered: list[list[int]] = []
+        for a, b, _ in base:
+            if covered and a <= covered[-1][1]:
+                covered[-1][1] = max(b, covered[-1][1])
+            else:
+                covered.append([a, b])
         for a, b in sensitive(text):
-            at = bisect_left(base_starts, b)
-            if at and base_reach[at - 1] > a:
+            at = bisect_right(covered, a, key=lambda x: x[0])
+            if at and covered[at - 1][1] >= b:
                 continue
             if novel(text, a, b, ratio):
                 if fresh and a < fresh[-1][1]:
@@ -145,7 +152,7 @@ def listed(found: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: float = 0.7) -> DataFrame:
     """Counts and spans of every text."""
 
-    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         for x in parts:
             out = []
             for key, body in zip(x["doc_id"], x["text"], strict=True):
@@ -153,9 +160,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: flo
                 n = {k: sum(s[2] == k for s in found) for k in KINDS}
                 base = listed([s for s in found if s[2] != "novel"])
                 out.append((key, n["assign"], n["access"], n["hex"], n["novel"], hashlib.sha256(base.encode()).hexdigest(), listed(found)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(look, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_novel bigint, base_sha256 string, spans string")
+    return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), look, FOUND)
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]", ratio: float = 0.7) -> DataFrame:

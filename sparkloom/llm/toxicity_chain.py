@@ -23,11 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import give_back, relieved
+from sparkloom.llm.common import by_batch, give_back, relieved
 
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\~`+=@^"
 SYMBOLS, UPPER = b"#*$%&|<>!", bytes(range(65, 91))
@@ -271,14 +272,13 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{x}" for x in chain.names]
 
-    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
         scorer = Scorer(sent.value)
         for x in parts:
-            made = pd.DataFrame(scorer.probabilities(x["text"].tolist()), columns=names)
-            made.insert(0, "doc_id", x["doc_id"].astype("Int64").to_numpy())
-            yield made
+            yield [(key, *p) for key, p in zip(x["doc_id"], scorer.probabilities(x["text"]).tolist(), strict=True)]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(relieved(look), "doc_id bigint, " + ", ".join(f"{x} double" for x in names))
+    schema = pa.schema([("doc_id", pa.int64()), *((x, pa.float64()) for x in names)])
+    return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), look, schema)
 
 
 def cleaned(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text: str = "text") -> DataFrame:
