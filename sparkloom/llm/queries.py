@@ -43,8 +43,8 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of all documents, and whether each is held toxic."""
     docs = table(spark, sf_dir, "documents")
-    found = toxicity_chain.score(docs, toxicity_model(spark, docs, sf_dir))
-    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    chain = toxicity_model(spark, docs, sf_dir)
+    return toxicity_chain.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= chain.thresholds["toxic"])
 
 
 def op5_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

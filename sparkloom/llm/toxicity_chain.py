@@ -5,11 +5,14 @@ it. For training those probabilities are out-of-fold: neither a document's own l
 Features are the distinct words of a text (long ones are taken apart, ``word_features``), their beginnings of 4 to 6 characters, and the texture of the text (shares of upper case, symbols and
 line ends, in steps). Each fit selects its features by their association with the label on its own rows.
 
+A category's threshold is the highest at which its out-of-fold probabilities reach the recall asked for, within ``BOUNDS``: unlabelled oddities
+don't drag it down to where clean texts lie, and easy categories don't push it up.
+
 The fit runs on at most ``sample`` labelled rows (a documented bound, drawn by the hash of the id); scoring covers all
 documents and whole texts.
 
 Defined results. Null and empty texts have texture features alone. Without labels, or with one class only, a category's probability
-is its base rate (0 without labels), so nothing is rejected for want of labels. Labels that are null are left out, those of unknown ids match nothing; an id of
+is its base rate (0 without labels), so nothing is rejected for want of labels, and its threshold is the upper bound. Labels that are null are left out, those of unknown ids match nothing; an id of
 several labels is in a category if any of them is, and of several texts of an id the least one is fitted on. Repeated documents get equal scores. Empty tables
 give empty results. ``score`` leaves extra columns out, ``cleaned`` keeps them.
 """
@@ -34,6 +37,8 @@ EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\~`+=@^"
 SYMBOLS, UPPER = b"#*$%&|<>!", bytes(range(65, 91))
 #: Words up to this length are one; longer ones are taken apart, and not kept.
 LONG = 40
+#: What share of a category's labelled texts its threshold is to find, and the least and highest threshold.
+RECALL, BOUNDS = 0.93, (0.1, 0.5)
 SPLIT = re.compile(f"[{re.escape(EDGES)}]+")
 
 
@@ -82,6 +87,7 @@ class Chain:
     names: tuple[str, ...]
     models: list[Linear] = field(default_factory=list)
     weights: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    thresholds: dict[str, float] = field(default_factory=dict)
 
     def name_features(self, texts: list[str | None]) -> None:
         """Fill ``weights``: what the selected features of the texts it was fitted on are."""
@@ -105,6 +111,12 @@ class Chain:
         return out
 
 
+def threshold_for(p: np.ndarray, y: np.ndarray, recall: float) -> float:
+    """The highest threshold that finds ``recall`` of the labelled ones, within ``BOUNDS``; the upper bound without any."""
+    own = p[y > 0]
+    return float(np.clip(np.quantile(own, 1 - recall, method="lower"), *BOUNDS)) if 0 < len(own) < len(p) else BOUNDS[1]
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -195,22 +207,23 @@ def fit_linear(rows: Rows, y: np.ndarray, use: np.ndarray, before: np.ndarray, m
     return Linear(rows.keys[picked], theta[:n_w].copy(), theta[n_w:-1].copy(), float(theta[-1])), logistic(scores(row, col))
 
 
-def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], folds: int = 3, most: int = 3000, least: int = 3) -> Chain:
+def fit_chain(texts: list[str | None], labels: dict[str, np.ndarray], folds: int = 3, most: int = 3000, least: int = 3, recall: float = RECALL) -> Chain:
     """Fit the chain; ``labels`` has one 0/1 array a category, in chain order. Copies of a text are in one fold, so none tells another's label."""
     rows, chain = Rows(texts), Chain(tuple(labels))
     fold = np.array([xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "surrogatepass")) % folds for x in texts], np.int64)
     before = np.zeros((rows.n, 0))
     every = np.ones(rows.n, bool)
-    for k, y in enumerate(labels.values()):
+    for name, y in labels.items():
         y = y.astype(float)
         chain.models.append(fit_linear(rows, y, every, before, most, least)[0])
-        if k < len(labels) - 1:
-            out = np.zeros(rows.n)
-            for f in range(folds):
-                held = fold == f
-                if held.any() and not held.all():
-                    out[held] = fit_linear(rows, y, ~held, before, most, least)[1][held]
-            before = np.column_stack([before, out])
+        out, known = np.zeros(rows.n), np.zeros(rows.n, bool)
+        for f in range(folds):
+            held = fold == f
+            if held.any() and not held.all():
+                out[held] = fit_linear(rows, y, ~held, before, most, least)[1][held]
+                known |= held
+        chain.thresholds[name] = threshold_for(out[known], y[known], recall)
+        before = np.column_stack([before, out])
     chain.name_features(texts)
     return chain
 
@@ -281,8 +294,9 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text: str = "te
     return by_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), look, schema)
 
 
-def cleaned(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents below the threshold; columns as they were."""
+def cleaned(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float | None = None, text: str = "text") -> DataFrame:
+    """The documents below the threshold, the chain's own if none is given; columns as they were."""
+    threshold = chain.thresholds.get(category, BOUNDS[1]) if threshold is None else threshold
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     place = chain.names.index(category)
 
