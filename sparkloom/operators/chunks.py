@@ -56,40 +56,43 @@ def split_text(text: str, size: int, overlap: int, cuts: list[str]) -> list[str]
     else:
         pieces = list(text)
     out: list[str] = []
-    held: list[str] = []
-    total = 0
+    first, total = 0, 0  # the chunk is ``pieces[first:k]``
 
-    def flush() -> None:
-        made = "".join(held).strip()
+    def flush(k: int) -> None:
+        made = "".join(pieces[first:k]).strip()
         if made:
             out.append(made)
 
-    for piece in pieces:
+    for k, piece in enumerate(pieces):
         n = len(piece)
         if n > size and rest:
-            flush()
-            held, total = [], 0
+            flush(k)
+            first, total = k + 1, 0
             out += split_text(piece, size, overlap, rest)
             continue
-        if held and total + n > size:
-            flush()
-            while held and (total > overlap or total + n > size):
-                total -= len(held[0])
-                held = held[1:]
-        held.append(piece)
+        if first < k and total + n > size:
+            flush(k)
+            while first < k and (total > overlap or total + n > size):
+                total -= len(pieces[first])
+                first += 1
         total += n
-    flush()
+    flush(len(pieces))
     return out
 
 
 def splitter(cuts: list[str]):
     @F.pandas_udf("array<string>")
     def split(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-        return pd.Series([split_text(x or "", int(s), int(o), cuts) for x, s, o in zip(text, size, overlap, strict=True)])
+        return pd.Series([None if x is None else split_text(x, int(s), int(o), cuts) for x, s, o in zip(text, size, overlap, strict=True)])
 
     return split
 
 
+def pieces_of(text: Column, size: Column, overlap: Column, cuts: list[str]) -> Column:
+    """The splitter's chunks of a long text, the text itself of a short one. Short texts don't go to Python: a condition around a Python function would not keep them from it, a null does."""
+    return F.coalesce(splitter(cuts)(F.when(F.length(text) > size, text), size, overlap), F.array(text))
+
+
 def header_sections(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Sections under markdown headers of level 1 to 5, headers kept in the text.
 
@@ -158,8 +161,7 @@ def parents(docs: DataFrame) -> DataFrame:
     keys = ["source", "title", "type", "record_index"]
     sections = header_sections(rooted, keys)
     size, overlap = size_of(F.col("type"), "parent"), size_of(F.col("type"), "parent_overlap")
-    pieces = F.when(F.length("text") > size, splitter(PARENT_CUTS)("text", size, overlap)).otherwise(F.array("text"))
-    chunks = sections.select(*keys, "section", "headers", F.posexplode(pieces).alias("piece", "text")).where(F.length(t.stripped(F.col("text"))) >= MIN_PARENT)
+    chunks = sections.select(*keys, "section", "headers", F.posexplode(pieces_of(F.col("text"), size, overlap, PARENT_CUTS)).alias("piece", "text")).where(F.length(t.stripped(F.col("text"))) >= MIN_PARENT)
     placed = dedup.running_position(chunks, "source", ["record_index", "section", "piece"])
     told = placed.withColumn("text", with_document_line(F.col("text"), F.col("title")))
     return told.withColumn("parent_id", parent_id(F.col("source"), F.col("chunk_pos"), F.col("text"))).drop("section", "piece")
@@ -172,7 +174,7 @@ def children(found: DataFrame) -> DataFrame:
     size, overlap = size_of(F.col("type"), "child"), size_of(F.col("type"), "child_overlap")
     rows = found.withColumns({"_raw": raw, "_context": titles.section_context(F.col("headers"), F.col("title"))})
     rows = rows.withColumn("short_doc", F.length("_raw") <= size)
-    pieces = F.when(F.col("short_doc"), F.array("_raw")).otherwise(splitter(CHILD_CUTS)("_raw", size, overlap))
+    pieces = pieces_of(F.col("_raw"), size, overlap, CHILD_CUTS)
     carried = [c for c in rows.columns if c not in ("text", "_raw")]
     out = rows.select(*carried, F.posexplode(pieces).alias("child_index", "raw"))
     return out.withColumns({"child_id": child_id(F.col("parent_id"), F.col("child_index"), F.col("raw")), "text": child_text(F.col("raw"), F.col("title"), F.col("_context"))}).drop("_context")

@@ -13,12 +13,23 @@ from sparkloom.functions import urls
 def first_by(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """First row of each key by the order column; all columns stay.
 
-    Exactly one row a key survives: rows without a place come last, and ties go by the hash of the whole row, so they don't depend on arrival. Rows
-    without a key are one key. An aggregate finds the row and combines before the shuffle, so a key of any size is no task's burden. Empty tables give empty results.
+    Exactly one row a key survives: rows without a place come last, ties go by the hash of the whole row, so they don't depend on arrival, and of rows that are equal in all one stays. Rows
+    without a key are one key. The aggregate has places and hashes alone, and combines before the shuffle, so a key of any size is no task's burden and texts are not sorted; the rows themselves are met again by a semi join. Empty tables give empty results.
     """
-    place = F.struct(F.col(order).isNull().alias("a"), F.col(order).alias("b"), F.xxhash64(*rows.columns).alias("c"))
-    own = "_key" + "_" * max([0, *(len(c) for c in rows.columns)])  # longer than any column's name
-    return rows.groupBy(key.alias(own)).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), place).alias("row")).select("row.*")
+    return chosen_by(rows, key, F.struct(F.col(order).isNull().alias("a"), F.col(order).alias("b"), F.xxhash64(*rows.columns).alias("c")), F.min)
+
+
+def chosen_by(rows: DataFrame, key: Column, place: Column, best) -> DataFrame:
+    """The row of the best place of each key. Two rows have one place only where all their columns are equal; such rows alone go through ``distinct``."""
+    own = "_" * max([1, *(len(c) + 1 for c in rows.columns)])  # longer than any column's name
+    told = rows.withColumns({f"{own}k": F.xxhash64(key), f"{own}v": key, f"{own}p": place})
+    places = told.groupBy(f"{own}k", f"{own}v", f"{own}p").agg(F.count("*").alias(f"{own}n"))
+    won = places.groupBy(F.col(f"{own}k").alias(f"{own}l"), F.col(f"{own}v").alias(f"{own}w")).agg(best(F.struct(f"{own}p", f"{own}n")).alias(f"{own}b"))
+    won = won.select(f"{own}l", f"{own}w", F.col(f"{own}b.{own}p").alias(f"{own}q"), F.col(f"{own}b.{own}n").alias(f"{own}m"))
+    same = (F.col(f"{own}k") == F.col(f"{own}l")) & F.col(f"{own}v").eqNullSafe(F.col(f"{own}w")) & F.col(f"{own}p").eqNullSafe(F.col(f"{own}q"))
+    # What is hashed is a place a key; the rows stream past it, unsorted.
+    met = lambda some: told.join(won.where(some).hint("shuffle_hash"), same, "left_semi").select(rows.columns)
+    return met(F.col(f"{own}m") == 1).unionByName(met(F.col(f"{own}m") > 1).distinct())
 
 
 def url_dedup(docs: DataFrame, order: str, source: str = "source", keep_empty: bool = False) -> DataFrame:
@@ -51,9 +62,9 @@ def phases(parts: list[DataFrame], order: str = "ord") -> DataFrame:
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Last row of each key; rows without a key are skipped. The aggregate combines before the shuffle."""
+    """Last row of each key, as ``first_by`` finds the first: rows without a place come first. Rows without a key are skipped."""
     kept = rows.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-    return kept.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_row")).select(key, "_row.*").select(rows.columns)
+    return chosen_by(kept, F.col(key), F.struct(F.col(order).isNotNull().alias("a"), F.col(order).alias("b"), F.xxhash64(*rows.columns).alias("c")), F.max)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -35,6 +35,15 @@ def consecutive_overlap(chunks: DataFrame, key: str, order: str, text: str = "te
     return pairs.select(key, order, t.overlap_ratio(F.col("_a"), F.col("_b")).alias("overlap"))
 
 
+def window_overlap(docs: DataFrame, keys: list[str], size: int, overlap: int, text: str = "text") -> DataFrame:
+    """The same for the fixed windows of each row's text, where both windows are parts of one text: nothing is shuffled. Texts of one window, empty and null ones have no pairs."""
+    n, step = F.length(F.col(text)), size - overlap
+    last = F.greatest(F.ceil((n - overlap) / step).cast("int") - 1, F.lit(0))
+    at = docs.where(n > 0).select(*keys, F.col(text).alias("_text"), F.explode(F.filter(F.sequence(F.lit(0), last), lambda k: k < last)).alias("pos"))
+    window = lambda k: F.substring(F.col("_text"), k * step + 1, F.lit(size))
+    return at.select(*keys, "pos", t.overlap_ratio(window(F.col("pos")), window(F.col("pos") + 1)).alias("overlap"))
+
+
 def overlap_summary(pairs: DataFrame, high: float = 0.4) -> DataFrame:
     """Pairs, those above ``high``, and the statistics of the overlap."""
     return pairs.agg(F.count_if(F.col("overlap") > high).alias("high_pairs")).join(F.broadcast(quality.stats(pairs, "overlap", digits=None).withColumnRenamed("count", "pairs")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sparkloom.operators import history, postings, vector_index, vectors
 from sparkloom.plans import flow
 from sparkloom.plans.registry import query
-from sparkloom.session import cut, scratch, table
+from sparkloom.session import cut, scratch, ship, table
+from sparkloom.streaming import conversations
 
 #: Queries are the vectors whose id this divides; they are held against all vectors.
 EVERY = 20
@@ -131,6 +132,18 @@ def history_trim_chars(spark, sf):
     return history.trimmed(history.spoken(table(spark, sf, "conversations"))).select("conv_id", "turn", "role")
 
 
+@query("history_by_turn", """WITH s AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role IN ('user', 'assistant')),
+p AS (SELECT a.conv_id, a.turn, a.role, b.turn AS held, b.size, b.i - greatest(a.i - 16, 0) - 1 AS at, least(a.i, 16) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.i <= a.i AND b.i > a.i - 16),
+c AS (SELECT *, n - 2 * (at // 2) AS left_over, sum(size) OVER (PARTITION BY conv_id, turn ORDER BY at // 2 DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tail FROM p)
+SELECT conv_id, turn, role, CAST(count(*) AS INT) AS n_kept, min(held) AS first_kept, CAST(sum(size) AS BIGINT) AS chars FROM c WHERE tail <= 2000 OR left_over <= 2 GROUP BY conv_id, turn, role""")
+def history_by_turn(spark, sf):
+    """All conversations as a stream of turns; each conversation's state is kept across its batches."""
+    ship(spark)
+    path, checkpoint = scratch(spark, "histories"), scratch(spark, "stream")
+    conversations.written_histories(conversations.turn_stream(spark, f"{sf.rstrip(chr(47))}/conversations.parque[t]"), path, checkpoint).awaitTermination()
+    return spark.read.schema(conversations.HISTORY).parquet(path).drop("history")
+
+
 @query("rewrite_prompt", f"WITH {SPOKEN} SELECT conv_id, sha256(string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Bot: ' END || text, chr(10) ORDER BY turn)) AS hash FROM t WHERE back <= 6 GROUP BY conv_id")
 def rewrite_prompt(spark, sf):
     found = history.rewrite_prompt(history.spoken(table(spark, sf, "conversations")))

@@ -239,7 +239,7 @@ def overlap_sql(source: str, key: str, order: str, text: str) -> str:
 
 @query("consecutive_overlap", f"WITH {WINDOWS}, {overlap_sql('w', 'doc_id', 'pos', 'chunk')} SELECT doc_id, CAST(pos AS INT) AS pos, overlap FROM o")
 def consecutive_overlap(spark, sf):
-    return structure.consecutive_overlap(windows(spark, sf), "doc_id", "pos", "chunk")
+    return structure.window_overlap(table(spark, sf, "documents"), ["doc_id"], 400, 80)
 
 
 @query("turn_overlap", f"WITH {overlap_sql('conversations', 'conv_id', 'turn', 'text')} SELECT conv_id, turn, overlap FROM o")
