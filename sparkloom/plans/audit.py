@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import mojibake
 from sparkloom.functions import text as t
 from sparkloom.operators import chunks, dedup, profile, quality, structure
 from sparkloom.plans.registry import query
-from sparkloom.session import table
+from sparkloom.session import scratch, table
+from sparkloom.sources import buckets
 
 WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
 TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -264,6 +266,18 @@ def key_merge_upsert(spark, sf):
     return dedup.upsert(docs.where("doc_id % 3 <> 0"), new, "doc_id").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
 
 
+@query("bucketed_merge", f"WITH n AS ({NEW}), o AS ({OLD}) SELECT doc_id, source, sha256(text) AS hash FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n))")
+def bucketed_merge(spark, sf):
+    """The same merge into a table in buckets: the old rows are its first version, the new ones its second, and a third batch repeats some of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    path = scratch(spark, "table")
+    buckets.merge(docs.where("doc_id % 3 <> 0"), path, "doc_id", "source")
+    new = docs.where("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), F.lower("text").alias("text"))
+    buckets.merge(new, path, "doc_id", "source")
+    buckets.merge(new.where("doc_id % 5 = 0"), path, "doc_id", "source")
+    return buckets.read(spark, path).select("doc_id", "source", F.sha2("text", 256).alias("hash"))
+
+
 @query("overwrite_by_key", "SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
 def overwrite_by_key(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id", "lang")
@@ -285,3 +299,16 @@ def encoding_repair(spark, sf):
     docs = table(spark, sf, "documents")
     misread = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
     return docs.select("doc_id", F.sha2(t.repaired(misread), 256).alias("hash"))
+
+
+@query("encoding_repair_segments", "SELECT doc_id, sha256(text || ' ' || text) AS hash FROM documents")
+def encoding_repair_segments(spark, sf):
+    """A good and a misread copy in one text: even ids are misread as Windows-1252, odd ones as Latin-1, multiples of 3 twice."""
+    docs = table(spark, sf, "documents")
+    latin = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+    # Windows-1252 differs from Latin-1 in bytes 80 to 9F alone; where it has no character, the byte itself stands.
+    odd = [(chr(b), c) for c, b in mojibake.READERS["cp1252"].items() if 0x80 <= b <= 0x9F and ord(c) != b]
+    windows_1252 = lambda x: F.translate(latin(x), "".join(a for a, _ in odd), "".join(b for _, b in odd))
+    once = F.when(F.col("doc_id") % 2 == 0, windows_1252(F.col("text"))).otherwise(latin(F.col("text")))
+    bad = F.when(F.col("doc_id") % 3 == 0, latin(once)).otherwise(once)
+    return docs.select("doc_id", F.sha2(mojibake.repaired(F.concat("text", F.lit(" "), bad)), 256).alias("hash"))

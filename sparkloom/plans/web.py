@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import html, titles, urls
+from sparkloom.functions import content, html, titles, urls
 from sparkloom.operators import dedup, profile
 from sparkloom.plans.registry import query
 from sparkloom.session import table
@@ -133,6 +133,23 @@ def html_clean(spark, sf):
     return crawl.as_records(table(spark, sf, "pages"), "page_id")
 
 
+@query("page_main_content")
+def page_main_content(spark, sf):
+    """The main content of all pages."""
+    text = content.main_content(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", text.alias("text"))
+
+
+@query("main_content_kept", "SELECT page_id, contains(html, '<h1') AS keeps_title, false AS keeps_box, false AS keeps_footer FROM pages")
+def main_content_kept(spark, sf):
+    """Whether a page's main content has its title, its advertisement and its footer, by their letters."""
+    letters = lambda x: F.regexp_replace(x, "&\\w+;|<[^>]*>|[^\\p{L}]", "")
+    part = lambda pattern: letters(F.regexp_extract("html", pattern, 1))
+    rows = page_main_content(spark, sf).withColumn("text", letters(F.col("text"))).join(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    has = lambda pattern: (part(pattern) != "") & F.col("text").contains(part(pattern))
+    return rows.select("page_id", has("(?s)<h1[^>]*>(.*?)</h1>").alias("keeps_title"), has('(?s)<div class="ad">(.*?)</div>').alias("keeps_box"), has("(?s)<footer>(.*?)</footer>").alias("keeps_footer"))
+
+
 PATH = r"list_filter(string_split(regexp_replace(split_part(split_part(regexp_replace(url, 'https?://[^/]+', ''), '?', 1), '#', 1), '/+$', ''), '/'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(id|module|row|rescue|page|dettaglio|[0-9]+)$') AND NOT starts_with(s, '__'))"
 TITLED = r"array_to_string(list_transform({0}, lambda s: array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(s, '(?i)\.(pdf|html|htm|php|aspx)$', ''), '[-_]+', ' ', 'g'), '[A-Za-z]+|[^A-Za-z]+'), lambda r: upper(r[1]) || lower(substr(r, 2))), '')), ' > ')"
 

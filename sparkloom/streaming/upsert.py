@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkloom.operators import dedup
+from sparkloom.sources import buckets as table
 from sparkloom.sources import kb
 
 
@@ -14,17 +14,13 @@ def record_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(kb.RECORD).json(path)
 
 
-def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: str = "source", order: str | None = None) -> StreamingQuery:
-    """Merge each batch into a versioned table: ``table_path/v<batch>`` is the state after that batch, made of the version before it.
+def upsert_stream(rows: DataFrame, table_path: str, checkpoint: str, key: str = "source", order: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Merge each batch into a table in buckets (``buckets.read`` reads it): only buckets in which a batch changes something are rewritten.
 
-    Of several rows of a key in one batch the last by ``order`` counts. A batch that is repeated after a failure overwrites its own version with the same rows. All available input is taken, then the query ends.
+    Of several rows of a key in one batch the last by ``order`` counts. A batch that is repeated after a failure is passed over if it is in, else merged whole. All available input is taken, then the query ends.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = dedup.last_by(batch, key, order or key)
-        old = f"{table_path}/v{number - 1}"
-        made = dedup.upsert(spark.read.parquet(old), new, key) if number else new
-        made.write.mode("overwrite").parquet(f"{table_path}/v{number}")
+        table.merge(batch, table_path, key, order, number, buckets)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

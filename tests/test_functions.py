@@ -20,9 +20,9 @@ def test_domain(spark):
 
 
 def test_unit_filter(spark):
-    site = urls.Site(unit_key="struttura", unit_id="300638")
-    cases = ["http://a.it/?struttura=300638", "http://a.it/?struttura=1", "http://a.it/", "http://a.it/?XStruttura=2&struttura=300638"]
-    assert values(spark, cases, F.coalesce(urls.wrong_unit(F.col("x"), site), F.lit(False))) == [False, True, False, True]
+    site = urls.Site(unit_key="branch", unit_id="17")
+    cases = ["http://a.it/list?branch=17", "http://a.it/list?branch=171", "http://a.it/list", "http://a.it/?subBranch=8&branch=17", "http://a.it/?BRANCH=9"]
+    assert values(spark, cases, F.coalesce(urls.wrong_unit(F.col("x"), site), F.lit(False))) == [False, True, False, True, True]
 
 
 def test_extension_and_years(spark):
@@ -74,8 +74,11 @@ def test_pdf_clean(spark):
 
 
 def test_titles(spark):
-    overrides = {"https://docenti.a.it": "Docenti", "https://corsi.a.it": "Corsi", "https://corsi.a.it/x": "X"}
-    cases = {"https://docenti.a.it/070141/home": "Docenti > Home", "https://corsi.a.it/uploads/rescue/__regolamenti-cds/2024/06227.pdf": "Corsi > Uploads > 06227", "": titles.UNKNOWN_TITLE, "unknown": titles.UNKNOWN_TITLE, "https://corsi.a.it": "Corsi", "https://b.it/a-b_c/o'neil.html": "A B C > O'Neil", "https://corsi.a.it/x": "X"}
+    overrides = {"https://library.b.org": "Library", "https://library.b.org/hours": "Opening hours"}
+    cases = {
+        "https://library.b.org/catalogue/new-books": "Library > Catalogue > New Books", "https://library.b.org/hours": "Opening hours", "https://library.b.org": "Library", "https://c.org/a-b_c/o'neil.html": "A B C > O'Neil",
+        "https://c.org/42/row/plans.pdf": "Plans", "": titles.UNKNOWN_TITLE, "unknown": titles.UNKNOWN_TITLE,
+    }
     assert values(spark, list(cases), titles.readable_title(F.col("x"), overrides)) == list(cases.values())
 
 

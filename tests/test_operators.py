@@ -237,6 +237,7 @@ def test_stores(spark, tmp_path):
 
 
 def test_streamed_upsert(spark, tmp_path):
+    from sparkloom.sources import buckets
     from sparkloom.streaming import upsert
 
     (tmp_path / "in").mkdir()
@@ -245,4 +246,4 @@ def test_streamed_upsert(spark, tmp_path):
     run()
     (tmp_path / "in/b.json").write_text('{"text": "two", "source": "s1", "type": "html"}\n{"text": "three", "source": "s2", "type": "html"}\n')
     run()
-    assert sorted((r.source, r.text) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [("s1", "two"), ("s2", "three")]
+    assert sorted((r.source, r.text) for r in buckets.read(spark, str(tmp_path / "t")).collect()) == [("s1", "two"), ("s2", "three")]
