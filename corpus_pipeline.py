@@ -2,6 +2,10 @@
 
 Toxic documents go; of near-duplicates one stays; documents that contain a benchmark item go; secrets are replaced by a mark
 (``n_chars`` follows the text); what is left is packed into sequences.
+
+Defined results, of all stages. Null, empty and blank texts are neither toxic nor copies nor contaminated, and hold no secrets; they are packed as their end id alone. Rows without an id are copies of nothing and stay. Rows that share an id
+are one document to the near-dedup stage, which keeps one of them. Ties don't matter: components are named by their smallest id, and packing places every row. Texts of any length are taken whole. Columns that the
+documents have besides are kept as they are, whatever their names, by all but the last stage. An empty table goes through all stages and stays empty; without labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from sparkloom.session import table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not hold toxic."""
+    """Documents that the classifier chain does not hold toxic, at the threshold that it has learnt for its recall."""
     return toxicity_chain.cleaned(docs, queries.toxicity_model(spark, docs, sf_dir))
 
 
