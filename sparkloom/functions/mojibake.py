@@ -36,24 +36,25 @@ def coded(encoding: str) -> dict[str, int]:
 
 READERS = {name: coded(name) for name in ("latin-1", "cp1252", "mac_roman")}
 #: Signs that misread lead bytes become; prose has them seldom, and hardly before another sign.
-LEADS = {c for name in READERS for c, b in READERS[name].items() if 0xC2 <= b <= 0xF4}
-SIGNS = {c for name in READERS for c, b in READERS[name].items() if 0x80 <= b <= 0xBF}
+LEADS = [({c for c, b in own.items() if 0xC2 <= b <= 0xF4}, {c for c, b in own.items() if 0x80 <= b <= 0xBF}) for own in READERS.values()]
 
 
 def cost(text: str) -> float:
     """Characters, and more for those that are no letter or common sign, and for a lead before what follows leads."""
     out = float(len(text))
     for a, b in zip(text, text[1:], strict=False):
-        out += 2.0 * (a in LEADS and b in SIGNS)
+        out += 2.0 * any(a in leads and b in signs for leads, signs in LEADS)
     for c in text:
         kind = unicodedata.category(c)
-        # Rare Latin letters: what a capital with an accent and a quotation mark would be.
-        out += 4.0 if 0x180 <= ord(c) < 0x300 else 3.0 if kind in ("Cc", "Cn", "Co", "Cs") else 0.5 if kind[0] == "S" or kind == "No" else 0.0
+        # Rare Latin letters and bare accents: what a capital with an accent and a quotation mark would be.
+        out += 4.0 if 0x180 <= ord(c) < 0x370 else 3.0 if kind in ("Cc", "Cn", "Co", "Cs") else 0.5 if kind[0] == "S" or kind == "No" else 0.0
     return out
 
 
 def reread(text: str, reader: dict[str, int]) -> str | None:
-    """The text whose UTF-8 bytes were read so; None if it is none."""
+    """The text whose UTF-8 bytes were read so; None if it is none. Mac Roman has plain accented letters for all kinds of bytes, so letters alone are no text of it."""
+    if reader is READERS["mac_roman"] and text.isalpha():
+        return None
     try:
         return bytes(reader[c] for c in text).decode("utf-8")
     except (KeyError, UnicodeDecodeError):

@@ -64,7 +64,18 @@ def knn_index_certified20(spark, sf):
     return indexed(spark, sf, certified=True)
 
 
-@query("mmr_select")
+#: Each round takes one hit of every query: the least gain's opposite, ties by rank. ``nearest`` is a hit's highest similarity to earlier picks.
+MMR = f"""WITH RECURSIVE {KNN.replace('rank <= 20', 'rank <= 60')},
+c AS (SELECT h.qid, h.vec_id, h.rank, h.score, CAST(v.embedding AS DOUBLE[]) AS e FROM h JOIN embeddings v ON h.vec_id = v.vec_id),
+r AS (SELECT qid, vec_id, rank, score, e, CAST(NULL AS DOUBLE) AS nearest, CAST(NULL AS INT) AS place, 1 AS step FROM c
+  UNION ALL
+  SELECT qid, vec_id, rank, score, e, greatest(coalesce(nearest, -2), list_inner_product(e, pick_e)), CASE WHEN place IS NULL AND vec_id = pick THEN step ELSE place END, step + 1
+  FROM (SELECT *, first_value(vec_id) OVER w AS pick, first_value(e) OVER w AS pick_e FROM r WHERE step <= 20
+        WINDOW w AS (PARTITION BY qid, step ORDER BY place IS NOT NULL, 0.5 * score - 0.5 * coalesce(nearest, 0) DESC, rank)))
+SELECT qid, vec_id, score, place AS rank FROM r WHERE step = 21 AND place IS NOT NULL"""
+
+
+@query("mmr_select", MMR)
 def mmr_select(spark, sf):
     return vectors.diverse(hits(spark, sf, 60), table(spark, sf, "embeddings"))
 
@@ -133,8 +144,8 @@ def history_trim_chars(spark, sf):
 
 
 @query("history_by_turn", """WITH s AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role IN ('user', 'assistant')),
-p AS (SELECT a.conv_id, a.turn, a.role, b.turn AS held, b.size, b.i - greatest(a.i - 16, 0) - 1 AS at, least(a.i, 16) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.i <= a.i AND b.i > a.i - 16),
-c AS (SELECT *, n - 2 * (at // 2) AS left_over, sum(size) OVER (PARTITION BY conv_id, turn ORDER BY at // 2 DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tail FROM p)
+p AS (SELECT a.conv_id, a.turn, a.role, b.turn AS held, b.size, b.i - greatest(a.i - 16, 0) - 1 AS spot, least(a.i, 16) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.i <= a.i AND b.i > a.i - 16),
+c AS (SELECT *, n - 2 * (spot // 2) AS left_over, sum(size) OVER (PARTITION BY conv_id, turn ORDER BY spot // 2 DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tail FROM p)
 SELECT conv_id, turn, role, CAST(count(*) AS INT) AS n_kept, min(held) AS first_kept, CAST(sum(size) AS BIGINT) AS chars FROM c WHERE tail <= 2000 OR left_over <= 2 GROUP BY conv_id, turn, role""")
 def history_by_turn(spark, sf):
     """All conversations as a stream of turns; each conversation's state is kept across its batches."""

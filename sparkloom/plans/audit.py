@@ -108,6 +108,24 @@ def quality_summary(spark, sf):
     return quality.summary(as_parents(spark, sf))
 
 
+TOLD = "coalesce((SELECT string_agg({0} || '=' || n, ',' ORDER BY n DESC, {0}) FROM (SELECT {0}, count(*) AS n FROM {1} GROUP BY 1 ORDER BY n DESC, {0} LIMIT 10)), '')"
+
+
+@query("quality_summary_columns", SCORED + f""" SELECT CAST(sum(e) AS BIGINT) AS errors, count(*) FILTER (e > 0) AS chunks_with_error, CAST(sum(w) AS BIGINT) AS warnings, count(*) FILTER (w > 0) AS chunks_with_warning,
+  round(CAST(min(length) AS DOUBLE), 1) AS least_length, round(avg(length), 1) AS mean_length, round(median(length), 1) AS median_length, round(coalesce(stddev_samp(length), 0), 1) AS stdev_length,
+  round(CAST(min(score) AS DOUBLE), 1) AS least_score, round(avg(score), 1) AS mean_score, round(median(score), 1) AS median_score,
+  {TOLD.format('issue', 'i')} AS top_issues, {TOLD.format('source', 'documents')} AS top_sources,
+  (SELECT string_agg(quality_label || '=' || n, ',' ORDER BY quality_label) FROM (SELECT {LABELLED} AS quality_label, count(*) AS n FROM s GROUP BY 1)) AS labels FROM s""")
+def quality_summary_columns(spark, sf):
+    """The nested summary as flat columns."""
+    listed = lambda c: F.array_join(F.transform(c, lambda v: F.concat(v.key, F.lit("="), v["count"].cast("string"))), ",")
+    found = quality.summary(as_parents(spark, sf))
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("quality_dist")), lambda v: F.concat(v.key, F.lit("="), v.value.cast("string"))), ",")
+    lengths = [F.col(f"length_stats.{k}").alias(f"{n}_length") for k, n in (("min", "least"), ("mean", "mean"), ("median", "median"), ("stdev", "stdev"))]
+    scores = [F.col(f"score_stats.{k}").alias(f"{n}_score") for k, n in (("min", "least"), ("mean", "mean"), ("median", "median"))]
+    return found.select("errors", "chunks_with_error", "warnings", "chunks_with_warning", *lengths, *scores, listed("top_issues").alias("top_issues"), listed("top_sources").alias("top_sources"), labels.alias("labels"))
+
+
 @query("kb_overview", "SELECT count(*) AS records, count(*) FILTER (coalesce(text,'') <> '') AS valid_records, count(*) FILTER (coalesce(text,'') = '') AS missing_text, count(*) FILTER (coalesce(source,'') = '') AS missing_source, count(*) FILTER (coalesce(lang,'') = '') AS missing_type FROM documents")
 def kb_overview(spark, sf):
     return profile.overview(table(spark, sf, "documents"), kind="lang")
@@ -187,6 +205,15 @@ def short_parent_passthrough(spark, sf):
     return table(spark, sf, "documents").select("doc_id", short.alias("short_doc"), F.when(short, F.size(F.array("text"))).alias("n_children"))
 
 
+@query("short_parent_children", "SELECT doc_id, length(text) <= 400 AS short_doc, CASE WHEN length(text) <= 400 THEN 1 END AS n_children, CASE WHEN length(text) <= 400 THEN length(text) END AS length FROM documents WHERE length(text) > 0")
+def short_parent_children(spark, sf):
+    """Documents as parents through the child splitter: a short one is its only child, whole. What longer ones give is in ``split_faults``."""
+    docs = table(spark, sf, "documents").where(F.length("text") > 0)
+    given = docs.select("doc_id", "text", F.lit("title").alias("title"), F.lit("html").alias("type"), F.array(F.lit("title")).alias("headers"), F.col("doc_id").cast("string").alias("parent_id"))
+    found = chunks.children(given).groupBy("doc_id", "short_doc").agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("longest"))
+    return found.select("doc_id", "short_doc", F.when(F.col("short_doc"), F.col("n").cast("int")).alias("n_children"), F.when(F.col("short_doc"), F.col("longest")).alias("length"))
+
+
 IDS = f"WITH {WINDOWS}, p AS (SELECT d.source, w.doc_id, w.pos, w.chunk, row_number() OVER (PARTITION BY d.source ORDER BY w.doc_id, w.pos) - 1 AS chunk_pos FROM w JOIN documents d ON w.doc_id = d.doc_id), t AS (SELECT *, 'Document: ' || source || chr(10) || chr(10) || chunk AS told FROM p), q AS (SELECT *, sha256(source || '::' || chunk_pos || '::' || told) AS parent_id FROM t)"
 
 

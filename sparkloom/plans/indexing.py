@@ -48,6 +48,48 @@ def recursive_split_children(spark, sf):
     return found.select("child_id", "parent_id", "child_index", "short_doc", F.length("raw").alias("raw_length"), F.length("text").alias("length"))
 
 
+@query("split_faults", "SELECT CASE doc_id % 2 WHEN 0 THEN 'html' ELSE 'pdf' END AS type, 0 AS too_long, 0 AS not_inside, 0 AS out_of_order, 0 AS lost_ends, 0 AS gaps FROM documents WHERE length(text) > 1000 GROUP BY 1")
+def split_faults(spark, sf):
+    """What the two splitters must not do, counted over all documents: chunks beyond their size, chunks that are no part of what was split, chunks out of order, beginnings or ends that are in none, and words between two chunks that are in neither."""
+    given = document_records(spark, sf).where(F.length("text") > 1000).select("type", F.col("record_index").alias("id"), chunks.t.stripped(F.col("text")).alias("text"))
+    parts = []
+    for kind, cuts in (("parent", chunks.PARENT_CUTS), ("child", chunks.CHILD_CUTS)):
+        size, overlap = (chunks.size_of(F.col("type"), f"{kind}{x}") for x in ("", "_overlap"))
+        made = given.withColumns({"made": chunks.pieces_of(F.col("text"), size, overlap, cuts), "size": size})
+        parts.append(made.select("type", "text", "made", "size"))
+    return faults(parts[0].unionByName(parts[1]))
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """Faults of chunks (``made``) of texts, by type."""
+
+    def look(parts):
+        import pandas as pd
+
+        for x in parts:
+            out = []
+            for kind, text, made, size in zip(x["type"], x["text"], x["made"], x["size"], strict=True):
+                found = [0] * 5
+                end = 0
+                for n, chunk in enumerate(made):
+                    found[0] += len(chunk) > size
+                    # The last place that leaves nothing but white space out.
+                    free = end + len(text[end:]) - len(text[end:].lstrip())
+                    place = text.rfind(chunk, max(0, end - 2 * size), free + len(chunk))
+                    if place < 0:
+                        place = text.find(chunk, free)
+                        found[4 if place >= 0 else 2 if chunk in text else 1] += 1
+                    found[3] += n == 0 and bool(text[:place].strip())
+                    end = max(end, place + len(chunk))
+                found[3] += bool(text[end:].strip())
+                out.append((kind, *found))
+            yield pd.DataFrame(out, columns=["type", "too_long", "not_inside", "out_of_order", "lost_ends", "gaps"])
+
+    names = ("too_long", "not_inside", "out_of_order", "lost_ends", "gaps")
+    counted = rows.mapInPandas(look, "type string, " + ", ".join(f"{n} int" for n in names))
+    return counted.groupBy("type").agg(*(F.sum(n).cast("int").alias(n) for n in names))
+
+
 @query("page_children")
 def page_children(spark, sf):
     """Children of all pages, whose headers give sections."""

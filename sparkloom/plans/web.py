@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import content, html, titles, urls
 from sparkloom.operators import dedup, profile
 from sparkloom.plans.registry import query
-from sparkloom.session import table
+from sparkloom.session import cut, table
 from sparkloom.sources import crawl
 
 #: The snapshot's own patterns, in place of a site's.
@@ -140,9 +140,13 @@ def page_main_content(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.alias("text"))
 
 
-@query("main_content_kept", "SELECT page_id, contains(html, '<h1') AS keeps_title, false AS keeps_box, false AS keeps_footer FROM pages")
+LETTERS = r"regexp_replace(regexp_extract(html, '{0}', 1, 's'), '&\w+;|<[^>]*>|[^\p{{L}}]', '', 'g')"
+ARTICLE, BOX, FOOTER = (LETTERS.format(x) for x in ("<article[^>]*>(.*)</article>", '<div class="ad">(.*?)</div>', "<footer>(.*?)</footer>"))
+
+
+@query("main_content_kept", f"SELECT page_id, contains(html, '<h1') AS keeps_title, {BOX} <> '' AND contains({ARTICLE}, {BOX}) AS keeps_box, {FOOTER} <> '' AND contains({ARTICLE}, {FOOTER}) AS keeps_footer FROM pages")
 def main_content_kept(spark, sf):
-    """Whether a page's main content has its title, its advertisement and its footer, by their letters."""
+    """Whether a page's main content has its title, its advertisement and its footer, by their letters. The last two only where the article says the same."""
     letters = lambda x: F.regexp_replace(x, "&\\w+;|<[^>]*>|[^\\p{L}]", "")
     part = lambda pattern: letters(F.regexp_extract("html", pattern, 1))
     rows = page_main_content(spark, sf).withColumn("text", letters(F.col("text"))).join(table(spark, sf, "pages").select("page_id", "html"), "page_id")
@@ -174,6 +178,24 @@ def bfs_reach(spark, sf):
     return crawl.reach(pages, pages.select("url"), 4)
 
 
+LINKED = f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), k AS (SELECT DISTINCT {CANON.format('url')} AS url FROM pages),
+b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages),
+g AS (SELECT DISTINCT {CANON.format('a.url')} AS src, {CANON.format('b.url')} AS dst FROM pages a, n, b WHERE b.page_id IN ((7 * a.page_id + 3) % n, (11 * a.page_id + 5) % n)),
+r AS (SELECT DISTINCT {CANON.format('url')} AS url, 1 AS level FROM pages WHERE page_id % 100 = 0 UNION SELECT dst, level + 1 FROM r JOIN g ON src = r.url JOIN k ON k.url = dst WHERE level < 4)
+SELECT url, CAST(min(level) AS INT) AS level FROM r GROUP BY url"""
+
+
+@query("bfs_levels", LINKED)
+def bfs_levels(spark, sf):
+    """A crawl that goes somewhere: the snapshot's links leave it, so each page is given two links to pages of the snapshot; every hundredth page is a seed."""
+    pages = cut(table(spark, sf, "pages").select("page_id", "url"))
+    n = pages.count()
+    to = pages.select(F.col("page_id").alias("to"), F.col("url").alias("href"))
+    wanted = pages.select("page_id", "url", F.explode(F.array((7 * F.col("page_id") + 3) % n, (11 * F.col("page_id") + 5) % n)).alias("to"))
+    linked = wanted.join(to, "to").groupBy("page_id", "url").agg(F.array_join(F.transform(F.collect_list("href"), lambda h: F.concat(F.lit("<a href='"), h, F.lit("'>x</a>"))), " ").alias("html"))
+    return crawl.reach(linked, linked.where("page_id % 100 = 0").select("url"), 4)
+
+
 @query("acquire")
 def acquire(spark, sf):
     """All crawl phases from all pages, deduplicated."""
