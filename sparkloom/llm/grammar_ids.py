@@ -146,10 +146,11 @@ class Block:
         flat = np.empty(int(self.lengths.sum()), np.uint32)
         flat[: self.base] = np.arange(self.base)
         flat[self.base - 1] = END_ID
-        for k, (a, b) in enumerate(rules.tolist()):
-            at, la, lb = self.offsets[self.base + k], self.lengths[a], self.lengths[b]
-            flat[at : at + la] = flat[self.offsets[a] : self.offsets[a] + la]
-            flat[at + la : at + la + lb] = flat[self.offsets[b] : self.offsets[b] + lb]
+        offsets, lengths = self.offsets.tolist(), self.lengths.tolist()
+        for at, (a, b) in zip(offsets[self.base :], rules.tolist(), strict=True):
+            middle = at + lengths[a]
+            flat[at:middle] = flat[offsets[a] : offsets[a] + lengths[a]]
+            flat[middle : middle + lengths[b]] = flat[offsets[b] : offsets[b] + lengths[b]]
         self.flat = flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:

@@ -37,7 +37,8 @@ class Encoder:
     """
 
     TOGETHER = re.compile(r"\s\s")
-    LONG, STRETCH = 64, 8_000_000
+    #: The known pieces are indexed anew for each stretch, so longer ones cost less.
+    LONG, STRETCH = 64, 16_000_000
     #: Before the first piece of a text. After a space no other piece begins with white space but with a line end, for runs go another way.
     FIRST = "\r"
 
@@ -105,8 +106,10 @@ class Encoder:
         held: list[str] = []  # stretches of texts
         owners: list[tuple[int, bytes]] = []  # by text: its stretches, or ids that are known
         size = 0
-        for text in texts:
-            if not text or not self.cuts or self.TOGETHER.search(text):
+        texts = list(texts)
+        together = pc.match_substring_regex(pa.array(texts, pa.large_string()), WHITE_PAIR).to_pylist()
+        for text, pair in zip(texts, together, strict=True):
+            if not text or not self.cuts or pair:
                 owners.append((0, self.packed(text)))
             else:
                 before = len(held)
@@ -147,7 +150,7 @@ class Encoder:
         words = split.flatten()
         at = pc.index_in(words, value_set=self.known)
         unknown = words.filter(at.is_null()).dictionary_encode()
-        fresh = pa.array(map(self.piece, unknown.dictionary.to_pylist()), pa.large_binary())
+        fresh = pa.array(self.pieces(unknown.dictionary.to_pylist()), pa.large_binary())
         self.turn()
         every = pa.concat_arrays([self.known_ids, fresh])
         spot = at.fill_null(0).to_numpy().astype(np.int64)
@@ -161,6 +164,24 @@ class Encoder:
         cuts = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
         return [ids[a:b].to_pybytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def pieces(self, new: list[str]) -> Iterator[bytes]:
+        """``piece`` of each. Letters, and letters with marks after them, take a short way: only the letters are kept here, since the whole piece will be known."""
+        tokenize, code, names, swap = self.model.tokenize, self.code, BYTE_NAMES, sys.byteorder == "big"
+        kept, old, bare = self.spaced, self.spaced.old, self.bare
+        for piece in new:
+            head = piece if piece.isalpha() else piece.rstrip(MARKS)
+            if len(head) > self.LONG or not head.isalpha():
+                yield self.piece(piece)
+                continue
+            found = kept.get(head) or old.get(head)
+            if found is None:
+                raw = head if head.isascii() else head.encode().decode("latin-1").translate(names)
+                ids = array(code, [x.id for x in tokenize(SPACE_NAME + raw)])
+                if swap:
+                    ids.byteswap()
+                found = kept[head] = ids.tobytes()
+            yield found if head is piece else found + bare[piece[len(head) :]]
+
     def piece(self, piece: str) -> bytes:
         lead = piece[:1]
         if lead == self.FIRST:
@@ -221,6 +242,8 @@ class _Pieces(dict):
 #: White space of the split pattern (the Unicode property), and runs of it with the word that follows.
 GAP = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = re.compile(f"([{GAP}]*)([^{GAP}]*)")
+#: Two characters of white space in a row, as ``str.isspace`` has it.
+WHITE_PAIR = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
 #: Marks that follow words; none is a letter, a digit or white space.
 MARKS = ".,;:!?*%&#$|"
 
