@@ -70,7 +70,7 @@ def stripped(text: Column) -> Column:
 
 
 def pdf_clean(text: Column) -> Column:
-    """Picture placeholders out; line and paragraph separators to line ends."""
+    """Picture placeholders (a fixed pattern) out; line and paragraph separators to line ends."""
     text = F.regexp_replace(text, r"\*\*==> picture \[[^\]]*\] intentionally omitted <==\*\*\s*", "")
     return F.replace(F.replace(text, F.lit("\u2028"), F.lit("\n")), F.lit("\u2029"), F.lit("\n\n"))
 

@@ -30,7 +30,7 @@ class Site:
     staff_path: str = "/people"
     staff_key: str = "person"
     staff_home: str = "home"
-    staff_teaching: str = "didattica"
+    staff_teaching: str = "teaching"
 
 
 def canonical(url: Column) -> Column:

@@ -19,6 +19,7 @@ from sparkloom.operators import dedup
 #: Fixed lists: where to cut, best first.
 PARENT_CUTS = ["\n\n", "\n", ". ", "! ", "? ", " ", ""]
 CHILD_CUTS = ["\n\n", "\n", ". ", "! ", "? ", "; ", " ", ""]
+#: Fixed value: the least length of a parent.
 MIN_PARENT = 80
 
 
@@ -30,7 +31,7 @@ class Sizes:
     child_overlap: int
 
 
-#: Sizes by document type; other types take those of html.
+#: Sizes by document type; other types take those of html.
 SIZES = {"html": Sizes(1250, 100, 400, 80), "pdf": Sizes(1700, 300, 500, 120)}
 
 

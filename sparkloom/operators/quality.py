@@ -20,6 +20,7 @@ class Limits:
     most: int
 
 
+#: Limits, least counts and shares, penalties in ``score``, names and bounds in ``label``.
 PARENT, CHILD = Limits(100, 400, 1600, 2000), Limits(80, 150, 550, 700)
 MIN_WORDS, MIN_REPETITION, MIN_SENTENCES = 8, 0.6, 1
 #: Issue: severity, code and message.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import html, titles
-from sparkloom.operators import chunks, quality, structure, vectors
+from sparkloom.operators import chunks, embeddings, quality, structure, vectors
 from sparkloom.plans.registry import query
 from sparkloom.plans.web import CLEAN
 from sparkloom.session import table
@@ -114,3 +114,19 @@ def structure_audit(spark, sf):
 def embed_documents(spark, sf):
     """Stand-in embeddings of all documents, for a vector collection."""
     return vectors.embedded(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding")
+
+
+@query("embed_trained")
+def embed_trained(spark, sf):
+    """Embeddings of all documents by a projection that is fitted on them here."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return embeddings.embedded(docs, embeddings.fitted(docs)).select("doc_id", "embedding")
+
+
+@query("embed_trained_copies", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS twin FROM documents WHERE length(text) > 0 QUALIFY twin < doc_id")
+def embed_trained_copies(spark, sf):
+    """Documents whose text an earlier one has, and that one: their vectors are equal, and so are no others' of unlike texts."""
+    docs = table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", "text")
+    found = embeddings.embedded(docs, embeddings.fitted(docs)).select("doc_id", F.sha2("text", 256).alias("hash"), F.xxhash64("embedding").alias("vector"))
+    first = found.groupBy("hash", "vector").agg(F.min("doc_id").alias("twin"))
+    return found.join(first, ["hash", "vector"]).where("twin < doc_id").select("doc_id", "twin")

@@ -95,10 +95,10 @@ def english_filter(spark, sf):
 @query("staff_expand", "SELECT vec_id, 'https://staff.example/' || CASE WHEN length(CAST(vec_id AS VARCHAR)) < 6 THEN lpad(CAST(vec_id AS VARCHAR), 6, '0') ELSE CAST(vec_id AS VARCHAR) END || '/' || p AS url FROM embeddings, (VALUES ('home'), ('didattica')) t(p)")
 def staff_expand(spark, sf):
     """Ids of vectors play staff numbers in links."""
-    site = urls.Site()
+    site = urls.Site(staff_teaching="didattica")
     href = F.concat(F.lit("https://a.example/people?person="), F.col("vec_id").cast("string"))
     ids = table(spark, sf, "embeddings").select("vec_id", urls.staff_id(href, site).alias("staff_id"))
-    return ids.join(crawl.staff_urls(ids, "https://staff.example"), "staff_id").select("vec_id", "url")
+    return ids.join(crawl.staff_urls(ids, "https://staff.example", site), "staff_id").select("vec_id", "url")
 
 
 def clean_sql() -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as t
 from sparkloom.operators import dedup, profile, structure
 
+#: Fixed names and values: fields of records, stores and exports, and the type of a record that has none (``sconosciuto``).
 RECORD = "text string, source string, type string"
 STORE = "map<string,struct<page_content:string,metadata:map<string,string>>>"
 EXPORT = "parent_id string, source string, title string, parent_length int, parent_preview string, num_children int, children array<struct<child_id:string,length:int,preview:string>>"
