@@ -27,6 +27,12 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.decided(failed, strict).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the strict policy over all documents: how many fail it, fail it alone, and would be kept without it; from the ledger's bits."""
+    found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return rule_ledger.ablations(found, rule_ledger.POLICIES[1])
+
+
 def op3_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written in the block format, then read back from the files."""
     path = f"{shared_dir(spark)}/sparkloom-blocks-{uuid.uuid4().hex}"

@@ -19,8 +19,10 @@ QUERIES = {
     "op11_bitmap_audit": q.op11_bitmap_audit,
     "op12_bit_sliced": q.op12_bit_sliced,
     "op13_periodic_runs": q.op13_periodic_runs,
+    "rule_ablations": q.rule_ablations,
 }
 ORACLES = {
     "op2_rule_ledger": sql.RULE_LEDGER,
     "op11_bitmap_audit": sql.BITMAP_AUDIT,
+    "rule_ablations": sql.RULE_ABLATIONS,
 }

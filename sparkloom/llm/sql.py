@@ -80,3 +80,10 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS
        CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
 FROM r
 """
+
+RULE_ABLATIONS = f"""
+WITH l AS ({RULE_LEDGER}),
+r AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'duplicate_lines', 'short_words', 'long_words', 'upper_case', 'exclamations']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit)
+SELECT rule, count(*) FILTER ((failed_bits & bit) <> 0) AS n_fails, count(*) FILTER (failed_bits = bit) AS n_alone, count(*) FILTER ((failed_bits & ~bit) = 0) AS n_kept_without
+FROM l, r GROUP BY rule
+"""
