@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
 from sparkloom.operators import dedup, profile, structure
+from sparkloom.sources import json_array
 
 #: Fixed names and values: fields of records, stores and exports, and the type of a record that has none (``sconosciuto``).
 RECORD = "text string, source string, type string"
@@ -19,9 +20,8 @@ EXPORT = "parent_id string, source string, title string, parent_length int, pare
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON array, with their position in it; a missing path is an error. Canonical storage is Parquet; the array form is one file, read by one task."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.from_json("value", f"array<struct<{RECORD.replace(' string', ':string')}>>")).alias("record_index", "r")).select(F.col("record_index").cast("long").alias("record_index"), "r.*")
+    """Records of a JSON array, with their position in it; a missing path is an error. Canonical storage is Parquet; the array form is read by as many tasks as it has ranges, if it has lines (``json_array``)."""
+    return json_array.records(spark, path).select(F.col("record_index").cast("long").alias("record_index"), F.from_json("body", RECORD).alias("r")).select("record_index", "r.*")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
