@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import mojibake
 from sparkloom.functions import text as t
-from sparkloom.operators import chunks, dedup, profile, quality, structure
+from sparkloom.operators import chunks, dedup, heavy, profile, quality, structure
 from sparkloom.plans.registry import query
 from sparkloom.session import scratch, table
 from sparkloom.sources import buckets
@@ -166,6 +166,20 @@ def source_top(spark, sf):
     return profile.most_common(table(spark, sf, "documents"), F.col("source"), "doc_id", 10, "source")
 
 
+@query("source_top_two_pass", "SELECT coalesce(nullif(source, ''), 'missing') AS source, count(*) AS n, min(doc_id) AS first_seen FROM documents GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 10")
+def source_top_two_pass(spark, sf):
+    """The same through summaries: only candidates are counted."""
+    return heavy.most_common(table(spark, sf, "documents").select("source", "doc_id"), F.col("source"), "doc_id", 10, "source")
+
+
+@query("word_top", f"SELECT term, count(*) AS n, min(doc_id) AS first_seen FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY 1 ORDER BY n DESC, first_seen, term LIMIT 20")
+def word_top(spark, sf):
+    """The most frequent words of all texts: far more keys than counters. Where counts and first documents are equal, the word itself comes last in the order."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(t.terms(F.col("text"))).alias("term"))
+    found = heavy.most_common(rows.withColumn("at", F.struct("doc_id", "term")), F.col("term"), "at", 20, "term")
+    return found.select("term", "n", F.col("first_seen.doc_id").alias("first_seen"))
+
+
 @query("chunk_length_stats", "SELECT min(length(text)) AS min_chars, max(length(text)) AS max_chars, CAST(floor(avg(length(text))) AS BIGINT) AS mean_chars FROM documents")
 def chunk_length_stats(spark, sf):
     return profile.chunk_stats(table(spark, sf, "documents"))
