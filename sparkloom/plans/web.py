@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import content, html, titles, urls
 from sparkloom.operators import dedup, profile
 from sparkloom.plans.registry import query
-from sparkloom.session import cut, table
-from sparkloom.sources import crawl
+from sparkloom.session import cut, scratch, table
+from sparkloom.sources import crawl, recrawl
 
 #: The snapshot's own patterns, in place of a site's.
 SITE = urls.Site(unit_key="page", unit_id="1", course_host="/about", structure_path="/docs", year_key="page", min_year=2)
@@ -185,15 +185,30 @@ r AS (SELECT DISTINCT {CANON.format('url')} AS url, 1 AS level FROM pages WHERE
 SELECT url, CAST(min(level) AS INT) AS level FROM r GROUP BY url"""
 
 
-@query("bfs_levels", LINKED)
-def bfs_levels(spark, sf):
-    """A crawl that goes somewhere: the snapshot's links leave it, so each page is given two links to pages of the snapshot; every hundredth page is a seed."""
+def linked(spark, sf):
+    """Pages of the snapshot, each with two links to others of them."""
     pages = cut(table(spark, sf, "pages").select("page_id", "url"))
     n = pages.count()
     to = pages.select(F.col("page_id").alias("to"), F.col("url").alias("href"))
     wanted = pages.select("page_id", "url", F.explode(F.array((7 * F.col("page_id") + 3) % n, (11 * F.col("page_id") + 5) % n)).alias("to"))
-    linked = wanted.join(to, "to").groupBy("page_id", "url").agg(F.array_join(F.transform(F.collect_list("href"), lambda h: F.concat(F.lit("<a href='"), h, F.lit("'>x</a>"))), " ").alias("html"))
-    return crawl.reach(linked, linked.where("page_id % 100 = 0").select("url"), 4)
+    return wanted.join(to, "to").groupBy("page_id", "url").agg(F.array_join(F.transform(F.collect_list("href"), lambda h: F.concat(F.lit("<a href='"), h, F.lit("'>x</a>"))), " ").alias("html"))
+
+
+@query("bfs_levels", LINKED)
+def bfs_levels(spark, sf):
+    """A crawl that goes somewhere: the snapshot's links leave it, so pages get links to one another; every hundredth page is a seed."""
+    pages = linked(spark, sf)
+    return crawl.reach(pages, pages.where("page_id % 100 = 0").select("url"), 4)
+
+
+@query("crawl_in_turn", LINKED)
+def crawl_in_turn(spark, sf):
+    """The same from two snapshots in turn, the pages of even ids and then all of them, of which only the others are new."""
+    pages, path = cut(linked(spark, sf)), scratch(spark, "crawl")
+    seeds = pages.where("page_id % 100 = 0").select("url")
+    recrawl.update(pages.where("page_id % 2 = 0"), seeds, path)
+    recrawl.update(pages, seeds, path)
+    return recrawl.reached(spark, path)
 
 
 @query("acquire")
