@@ -81,8 +81,15 @@ def relieved(look: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 def by_batch(df: DataFrame, look: Callable[[Iterator[dict[str, list]]], Iterator[list[tuple]]], out: pa.Schema) -> DataFrame:
     """Rows that ``look`` makes of the rows of each batch, given as a list a column. Values pass as they are: a null beside an id doesn't make it a float."""
 
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for x in batches:
+            told = {name: x.column(k).to_pylist() for k, name in enumerate(x.schema.names)}
+            del x  # not held beside its own copy
+            yield told
+            del told
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in look({name: x.column(k).to_pylist() for k, name in enumerate(x.schema.names)} for x in batches):
+        for rows in look(lists(batches)):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], field.type) for k, field in enumerate(out)], schema=out)
         give_back()
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import by_batch, mixed, shingle_hashes, spread, words
+from sparkloom.llm.common import by_batch, give_back, mixed, shingle_hashes, spread, words
 
 SIZE = 5
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item_shingles", pa.int64()), ("containment", pa.float64())])
@@ -151,6 +151,7 @@ def free_of(sent) -> object:
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in parts:
             yield pd.Series([not sent.value.search(body) for body in x], dtype=bool)
+        give_back()
 
     return clean
 

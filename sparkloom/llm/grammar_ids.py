@@ -36,6 +36,8 @@ from sparkloom.llm.common import by_batch, spread, written
 END_ID = 0
 #: Pieces whose ids a worker keeps; starts of this many blocks are sent to all executors (a few bytes each), beyond it they are joined by a shuffle.
 KEPT_PIECES, SENT_BLOCKS = 1_200_000, 500_000
+#: Characters that the encoder splits at a time: twice the usual, for nothing else of size is held beside it here.
+STRETCH = 16_000_000
 BLOCK = "part int, seq int, doc_ids array<bigint>, token_ends array<bigint>, symbol_ends array<bigint>, n_tokens bigint, base int, width int, rules binary, expansions binary, symbols binary"
 READ = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "n_tokens", "ids_crc32", "n_symbols")])
 
@@ -175,14 +177,14 @@ def write_blocks(docs: DataFrame, path: str, vocabulary_file: str, id_col: str =
     """Write the ids of all documents, in ascending id order, to ``path``."""
 
     def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(vocabulary_file, KEPT_PIECES)
+        encode = tokens.encoder(vocabulary_file, KEPT_PIECES, STRETCH)
         end = np.array([END_ID], encode.kind).tobytes()
         for x in parts:
             raw = [ids + end for ids in encode.packed_all(x["text"])]
             yield pd.DataFrame({"doc_id": x["doc_id"], "no_id": x["no_id"], "n_tokens": [len(r) // encode.kind.itemsize for r in raw], "ids": raw})
 
     def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(vocabulary_file, KEPT_PIECES)
+        encode = tokens.encoder(vocabulary_file, KEPT_PIECES, STRETCH)
         vocabulary, part, seq = encode.tokenizer.get_vocab_size(True), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         held: list[bytes] = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import by_batch
+from sparkloom.llm.common import by_batch, give_back
 from sparkloom.llm.long_words import WORDS
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_novel", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -185,5 +185,6 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]", ratio:
                     body = "".join(made) + body[at:]
                 out.append(body)
             yield pd.Series(out, dtype=object)
+        give_back()
 
     return docs.withColumn(text, hide(F.col(text)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -32,17 +33,16 @@ class Encoder:
     leaves whole, goes to the tokenizer's model directly. Texts with a run that also hold an added token, and tokenizers of another kind, are encoded
     whole. At most ``most`` pieces are kept in each of two forms, and the older half goes first.
 
-    ``packed_all`` takes many texts: Arrow splits about ``STRETCH`` characters at a time, finds their pieces among at most ``most`` known ones and puts their ids
+    ``packed_all`` takes many texts: Arrow splits about ``stretch`` characters at a time (the known pieces are indexed anew each time, so a longer one costs less and holds more), finds their pieces among at most ``most`` known ones and puts their ids
     in place, so that Python sees new pieces only.
     """
 
     TOGETHER = re.compile(r"\s\s")
-    #: The known pieces are indexed anew for each stretch, so longer ones cost less.
-    LONG, STRETCH = 64, 16_000_000
+    LONG, STRETCH = 64, 8_000_000
     #: Before the first piece of a text. After a space no other piece begins with white space but with a line end, for runs go another way.
     FIRST = "\r"
 
-    def __init__(self, path: str, most: int):
+    def __init__(self, path: str, most: int, stretch: int = STRETCH):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,7 +61,7 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.added = tuple(x["content"] for x in added)
         self.run = functools.lru_cache(maxsize=1024)(self.whole)
-        self.most = most
+        self.most, self.stretch = most, stretch
         self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.line_end = self.whole("\n")
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
@@ -106,9 +106,7 @@ class Encoder:
         held: list[str] = []  # stretches of texts
         owners: list[tuple[int, bytes]] = []  # by text: its stretches, or ids that are known
         size = 0
-        texts = list(texts)
-        together = pc.match_substring_regex(pa.array(texts, pa.large_string()), WHITE_PAIR).to_pylist()
-        for text, pair in zip(texts, together, strict=True):
+        for text, pair in self.marked(texts):
             if not text or not self.cuts or pair:
                 owners.append((0, self.packed(text)))
             else:
@@ -116,15 +114,22 @@ class Encoder:
                 held += self.stretches(text)
                 owners.append((len(held) - before, b""))
                 size += len(text)
-            if size >= self.STRETCH or len(owners) >= 20_000:
+            if size >= self.stretch or len(owners) >= 20_000:
                 yield from self.placed(held, owners)
                 held, owners, size = [], [], 0
         yield from self.placed(held, owners)
 
+    @staticmethod
+    def marked(texts: Iterable[str | None]) -> Iterator[tuple[str | None, bool]]:
+        """Each text, and whether it has white space together; some at a time."""
+        rest = iter(texts)
+        while part := list(itertools.islice(rest, 256)):
+            yield from zip(part, pc.match_substring_regex(pa.array(part, pa.large_string()), WHITE_PAIR).to_pylist(), strict=True)
+
     def stretches(self, text: str) -> Iterator[str]:
-        """The text with a space before each line end, cut at spaces into parts of about ``STRETCH`` characters."""
+        """The text with a space before each line end, cut at spaces into parts of about ``stretch`` characters."""
         spaced, at = self.FIRST + text.replace("\n", " \n"), 0
-        while (end := spaced.find(" ", at + self.STRETCH)) >= 0:
+        while (end := spaced.find(" ", at + self.stretch)) >= 0:
             yield spaced[at:end]
             at = end + 1
         yield spaced[at:]
@@ -136,7 +141,7 @@ class Encoder:
         for k, part in enumerate(held):
             group.append(part)
             size += len(part)
-            if size >= self.STRETCH or k == len(held) - 1:
+            if size >= self.stretch or k == len(held) - 1:
                 ready += self.joined(group)
                 group, size = [], 0
         at = 0
@@ -249,6 +254,6 @@ MARKS = ".,;:!?*%&#$|"
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, most: int = 600_000) -> Encoder:
+def encoder(path: str, most: int = 600_000, stretch: int = Encoder.STRETCH) -> Encoder:
     """One a worker process and vocabulary file."""
-    return Encoder(path, most)
+    return Encoder(path, most, stretch)

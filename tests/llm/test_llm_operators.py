@@ -155,7 +155,7 @@ def test_encoder_equals_the_library(parts):
 def test_encoder_of_many_texts_equals_the_library(parts, stretch, most):
     texts = [None if p is None else "".join(p) for p in parts]
     e = tokens.Encoder.__new__(tokens.Encoder)
-    e.__dict__ |= tokens.encoder(tokens.public_path()).__dict__ | {"STRETCH": stretch, "most": most}
+    e.__dict__ |= tokens.encoder(tokens.public_path()).__dict__ | {"stretch": stretch, "most": most}
     for _ in range(2):  # new pieces, then known ones
         assert list(e.packed_all(texts)) == [e.whole(t) if t else b"" for t in texts]
 
@@ -165,7 +165,7 @@ def test_encoder_forgets():
     for x in [passage(i, 60).replace(" ", "\n", 3) + "  end " for i in range(40)] * 2:
         assert few.packed(x) == whole(x)
     texts = [passage(i, 60).replace(" ", "\n", 3) for i in range(40)] * 2
-    few.STRETCH = 500
+    few.stretch = 500
     assert list(few.packed_all(texts)) == [whole(x) for x in texts] and len(few.known) <= 20 == few.most
 
 
