@@ -146,12 +146,18 @@ ARTICLE, BOX, FOOTER = (LETTERS.format(x) for x in ("<article[^>]*>(.*)</article
 
 @query("main_content_kept", f"SELECT page_id, contains(html, '<h1') AS keeps_title, {BOX} <> '' AND contains({ARTICLE}, {BOX}) AS keeps_box, {FOOTER} <> '' AND contains({ARTICLE}, {FOOTER}) AS keeps_footer FROM pages")
 def main_content_kept(spark, sf):
-    """Whether a page's main content has its title, its advertisement and its footer, by their letters. The last two only where the article says the same."""
-    letters = lambda x: F.regexp_replace(x, "&\\w+;|<[^>]*>|[^\\p{L}]", "")
-    part = lambda pattern: letters(F.regexp_extract("html", pattern, 1))
-    rows = page_main_content(spark, sf).withColumn("text", letters(F.col("text"))).join(table(spark, sf, "pages").select("page_id", "html"), "page_id")
-    has = lambda pattern: (part(pattern) != "") & F.col("text").contains(part(pattern))
-    return rows.select("page_id", has("(?s)<h1[^>]*>(.*?)</h1>").alias("keeps_title"), has('(?s)<div class="ad">(.*?)</div>').alias("keeps_box"), has("(?s)<footer>(.*?)</footer>").alias("keeps_footer"))
+    """Whether a page's main content has its title, its advertisement and its footer, by their letters. The last two only where the article says the same.
+
+    A title without letters has none to lose.
+    """
+    letters = lambda x: F.regexp_replace(x, "[^\\p{L}]", "")
+    rows = table(spark, sf, "pages").select("page_id", "html", letters(content.main_content(F.col("html"))).alias("text"))
+    part = lambda pattern: letters(content.decoded(F.regexp_replace(F.regexp_extract("html", pattern, 1), "<[^>]*>", "")))
+    parts = {"title": "(?s)<h1[^>]*>(.*?)</h1>", "box": '(?s)<div class="ad">(.*?)</div>', "footer": "(?s)<footer>(.*?)</footer>"}
+    rows = rows.withColumns({name: part(pattern) for name, pattern in parts.items()})
+    has = lambda name: (F.col(name) != "") & F.col("text").contains(F.col(name))
+    title = F.col("html").contains("<h1") & F.col("text").contains(F.col("title"))
+    return rows.select("page_id", title.alias("keeps_title"), has("box").alias("keeps_box"), has("footer").alias("keeps_footer"))
 
 
 PATH = r"list_filter(string_split(regexp_replace(split_part(split_part(regexp_replace(url, 'https?://[^/]+', ''), '?', 1), '#', 1), '/+$', ''), '/'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(id|module|row|rescue|page|dettaglio|[0-9]+)$') AND NOT starts_with(s, '__'))"

@@ -1,11 +1,14 @@
 """Main content on hand-made pages, and repair of misread text."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import content, mojibake
+from sparkloom.plans import web
+from sparkloom.plans.registry import ORACLES
 
 PROSE = "The river rises in the hills, crosses the plain, and reaches the sea after nine days. Boats go down it in spring, when the water is high. "
 MENU = "<ul class='menu'>" + "".join(f"<li><a href='/{k}'>Entry {k} of the menu</a></li>" for k in range(12)) + "</ul>"
@@ -51,6 +54,17 @@ def test_repeated_paragraphs_are_given_once():
     assert content.main_text(page(f"<article><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE * 2}</p></article>")).count("\n\n") == 1
 
 
+def test_titles_with_open_references(spark, tmp_path):
+    """Titles that end inside of a reference, have no letters, or share their page's id with another."""
+    article = f"<article><h1>{{}}</h1><p>{PROSE * 2}</p></article>"
+    rows = [(1, article.format("A &amp; B &amp")), (2, article.format("1 &lt; 2")), (3, article.format("Caf&eacute")), (3, article.format("<b>x</b> &lt;i&gt;")), (4, f"<p>{PROSE}</p>"), (5, None), (None, article.format("T"))]
+    spark.createDataFrame([(k, "u", x) for k, x in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in web.main_content_kept(spark, str(tmp_path)).collect()]
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = duckdb.sql(ORACLES["main_content_kept"]).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[1] is True for r in got) == 5
+
+
 # ---- misread text
 
 LETTERS = "àèéìòùçñöüßÀÈÉ’“”–…€"
