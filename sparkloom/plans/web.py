@@ -209,11 +209,11 @@ def bfs_levels(spark, sf):
 
 @query("crawl_in_turn", LINKED)
 def crawl_in_turn(spark, sf):
-    """The same from two snapshots in turn, the pages of even ids and then all of them, of which only the others are new."""
+    """The same from two snapshots in turn, the pages of even ids and then all of them, of which only the others are new. Pages that share a URL are told apart by their ids."""
     pages, path = cut(linked(spark, sf)), scratch(spark, "crawl")
     seeds = pages.where("page_id % 100 = 0").select("url")
-    recrawl.update(pages.where("page_id % 2 = 0"), seeds, path)
-    recrawl.update(pages, seeds, path)
+    recrawl.update(pages.where("page_id % 2 = 0"), seeds, path, key="page_id")
+    recrawl.update(pages, seeds, path, key="page_id")
     return recrawl.reached(spark, path)
 
 

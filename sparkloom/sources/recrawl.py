@@ -1,11 +1,12 @@
 """Crawls that go on from snapshot to snapshot: a new one costs its new pages, and what they change.
 
-Under ``path`` are three tables in buckets (``buckets``): ``pages``, the canonical URLs that have been processed, ``edges``, their links, and ``levels``, the level at which each URL was reached. A fourth, ``filters``, has a Bloom filter for each
-bucket of ``pages``: URLs that it doesn't know are new, without a look at the table; only the others are held against it, so that no URL is taken for seen by chance.
+Under ``path`` are three tables in buckets (``buckets``): ``pages``, what has been processed with its canonical URL, ``edges``, their links, and ``levels``, the level at which each URL was reached. A fourth, ``filters``, has a Bloom filter for each
+bucket of ``pages``: pages that it doesn't know are new, without a look at the table; only the others are held against it, so that no page is taken for seen by chance.
 
 ``update`` processes the pages that are new, and mends levels from there: a new page may be a seed, or the target of links that led nowhere before, and may bring others nearer. What it gives after several snapshots is what ``crawl.reach`` gives over all of them.
 
-Defined results. The first version of a page counts, as the filter of processed pages has it; pages without a URL are left out. A snapshot without new pages changes nothing.
+Defined results. A page is its canonical URL, or that and a ``key``, where several pages share a URL; the links of all of them count. The first snapshot that has a page counts, with all of its rows there; pages without a URL are left out.
+A snapshot without new pages changes nothing.
 """
 
 from __future__ import annotations
@@ -49,48 +50,49 @@ def bucket_of(column: str, n: int):
 
 
 def unseen(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
-    """Those of distinct canonical URLs (``url``) that no snapshot has had."""
+    """Those of distinct pages (``page``, ``url``) that no snapshot has had."""
     held = buckets.latest(spark, f"{path}/pages")
     if held is None:
         return found
     filters = buckets.read(spark, f"{path}/filters")
 
     def ask(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        told = known(own["url"].tolist(), kept["bits"].iloc[0]) if len(kept) else np.zeros(len(own), bool)
-        return pd.DataFrame({"url": own["url"], "told": told})
+        told = known(own["page"].tolist(), kept["bits"].iloc[0]) if len(kept) else np.zeros(len(own), bool)
+        return pd.DataFrame({"page": own["page"], "url": own["url"], "told": told})
 
-    asked = found.select("url", bucket_of("url", held.buckets).alias("block")).groupBy("block").cogroup(filters.groupBy("block")).applyInPandas(ask, "url string, told boolean")
+    asked = found.select("page", "url", bucket_of("page", held.buckets).alias("block")).groupBy("block").cogroup(filters.groupBy("block")).applyInPandas(ask, "page string, url string, told boolean")
     asked = cut(asked)
-    likely = asked.where("told").select("url", bucket_of("url", held.buckets).cast("string").alias("block"))
+    likely = asked.where("told").select("page", "url", bucket_of("page", held.buckets).cast("string").alias("block"))
     met = [r.block for r in likely.select("block").distinct().collect()]
-    really = buckets.read(spark, f"{path}/pages", held, met).select("url")
-    return asked.where("NOT told").select("url").unionByName(likely.select("url").join(really, "url", "left_anti"))
+    really = buckets.read(spark, f"{path}/pages", held, met).select("page")
+    return asked.where("NOT told").select("page", "url").unionByName(likely.select("page", "url").join(really, "page", "left_anti"))
 
 
 def remember(spark: SparkSession, path: str, fresh: DataFrame, n_buckets: int) -> None:
-    """Put URLs into the table of processed pages, and make the filters of the buckets that got some anew."""
-    version = buckets.merge(fresh, f"{path}/pages", "url", buckets=n_buckets)
-    block = bucket_of("url", version.buckets)
+    """Put pages into the table of processed ones, and make the filters of the buckets that got some anew."""
+    version = buckets.merge(fresh, f"{path}/pages", "page", buckets=n_buckets)
+    block = bucket_of("page", version.buckets)
     touched = [r.block for r in fresh.select(block.alias("block")).distinct().collect()]
-    own = buckets.read(spark, f"{path}/pages", version, [str(k) for k in touched]).select("url", block.alias("block"))
+    own = buckets.read(spark, f"{path}/pages", version, [str(k) for k in touched]).select("page", block.alias("block"))
 
     def make(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [int(x["block"].iloc[0])], "bits": [filter_of(x["url"].tolist())]})
+        return pd.DataFrame({"block": [int(x["block"].iloc[0])], "bits": [filter_of(x["page"].tolist())]})
 
     # A group is a bucket of the table.
     buckets.merge(own.groupBy("block").applyInPandas(make, "block int, bits binary"), f"{path}/filters", "block", buckets=n_buckets)
 
 
-def update(pages: DataFrame, seeds: DataFrame, path: str, depth: int = 4, site: urls.Site = urls.Site(), n_buckets: int = 64) -> int:
-    """Process a snapshot (``url``, ``html``); how many of its pages were new. ``seeds`` and ``depth`` are those of all snapshots."""
+def update(pages: DataFrame, seeds: DataFrame, path: str, depth: int = 4, site: urls.Site = urls.Site(), n_buckets: int = 64, key: str | None = None) -> int:
+    """Process a snapshot (``url``, ``html``); how many of its pages were new. ``seeds``, ``depth`` and ``key`` are those of all snapshots. ``key`` is a column that tells pages of one URL apart."""
     spark = pages.sparkSession
     path = path.rstrip("/")
-    rows = pages.where("url IS NOT NULL").withColumn("_canon", urls.canonical(F.col("url")))
-    fresh = cut(unseen(spark, path, rows.select(F.col("_canon").alias("url")).distinct()))
+    canon = urls.canonical(F.col("url"))
+    rows = pages.where("url IS NOT NULL").select("url", "html", canon.alias("_canon"), (F.concat_ws(" ", canon, F.col(key).cast("string")) if key else canon).alias("page"))
+    fresh = cut(unseen(spark, path, rows.select("page", F.col("_canon").alias("url")).distinct()))
     n = fresh.count()
     if not n:
         return 0
-    first = rows.join(fresh.withColumnRenamed("url", "_canon"), "_canon", "left_semi").groupBy("_canon").agg(F.min(F.struct("url", "html")).alias("p")).select("p.url", "p.html")
+    first = rows.join(fresh.select("page"), "page", "left_semi").select("url", "html")
     found = crawl.links(first, site).select(urls.canonical(F.col("src_url")).alias("src"), urls.canonical(F.col("dst_url")).alias("dst")).distinct()
     buckets.merge(found.select(F.concat_ws(" ", "src", "dst").alias("edge"), "src", "dst"), f"{path}/edges", "edge", buckets=n_buckets)
     remember(spark, path, fresh, n_buckets)
@@ -98,10 +100,11 @@ def update(pages: DataFrame, seeds: DataFrame, path: str, depth: int = 4, site:
     every = buckets.read(spark, f"{path}/pages").select("url")
     begun = buckets.latest(spark, f"{path}/levels") is not None
     levels = buckets.read(spark, f"{path}/levels") if begun else spark.createDataFrame([], "url string, level int")
-    # New pages are reached as seeds, or by links from pages that have a level.
+    # New pages are reached as seeds, or by links from pages that have a level; those of a URL that has a level bring it new links.
     roots = seeds.select(urls.canonical(F.col("url")).alias("url")).distinct().join(fresh, "url", "left_semi").withColumn("level", F.lit(1))
     led = levels.where(F.col("level") < depth).withColumnRenamed("url", "src").join(edges, "src").select(F.col("dst").alias("url"), (F.col("level") + 1).alias("level")).join(fresh, "url", "left_semi")
-    front = cut(roots.unionByName(led).groupBy("url").agg(F.min("level").alias("level")))
+    again = levels.join(fresh, "url", "left_semi").select("url", "level")
+    front = cut(roots.unionByName(led).unionByName(again).groupBy("url").agg(F.min("level").alias("level")))
     changed = front
     while not front.isEmpty():
         near = front.where(F.col("level") < depth).withColumnRenamed("url", "src").join(edges, "src").select(F.col("dst").alias("url"), (F.col("level") + 1).alias("level"))

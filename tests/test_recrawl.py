@@ -50,3 +50,21 @@ def test_first_snapshots(spark):
     assert recrawl.reached(spark, path).count() == 0
     assert recrawl.update(spark.createDataFrame([("https://a.org/", "<a href='/b'>b</a>")], "url string, html string"), seeds, path) == 1
     assert {(r.url, r.level) for r in recrawl.reached(spark, path).collect()} == {("https://a.org", 1), ("https://a.org/b", 2)}
+
+
+def test_pages_that_share_a_url(spark):
+    """Links of all pages of a URL count: beside one another in a snapshot, and, told apart by a key, when one comes later, to a URL that has been reached or not."""
+    rows = [(0, "https://a.org/s", "<a href='/p'>x</a>"), (1, "http://a.org/p/", "<a href='/q'>x</a>"), (2, "https://a.org/p", "<a href='/r'>x</a>")]
+    late = [(3, "https://a.org/p", "<a href='/t'>x</a>"), (4, "https://a.org/q", "none"), (5, "https://a.org/r", "none"), (6, "https://a.org/t", "<a href='/u'>x</a>"), (7, "https://a.org/u", "<a href='/p'>x</a>"), (8, "https://a.org/s", "<a href='/u'>x</a>")]
+    frame = lambda x: spark.createDataFrame(x, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("https://a.org/s",)], "url string")
+    levels = lambda df: {r.url[14:]: r.level for r in df.collect()}
+    path = scratch(spark, "crawl")
+    assert recrawl.update(frame(rows), seeds, path, n_buckets=4, key="page_id") == 3
+    assert recrawl.update(frame(rows + late), seeds, path, key="page_id") == 6
+    assert levels(recrawl.reached(spark, path)) == levels(crawl.reach(frame(rows + late), seeds, 4)) == {"s": 1, "p": 2, "u": 2, "q": 3, "r": 3, "t": 3}
+    assert recrawl.update(frame(rows + late), seeds, path, key="page_id") == 0
+    # Without a key, those of one snapshot count together.
+    path = scratch(spark, "crawl")
+    assert recrawl.update(frame(rows + late), seeds, path, n_buckets=4) == 6
+    assert levels(recrawl.reached(spark, path)) == {"s": 1, "p": 2, "u": 2, "q": 3, "r": 3, "t": 3}
