@@ -39,18 +39,18 @@ def embedded(rows: DataFrame, text: str = "text", embed: Callable[[str | None],
 
 
 class Best:
-    """The k best of each of n queries so far: higher scores first, ties by id, NaN last."""
+    """The k best of each of n queries so far: higher scores first, ties by id, NaN last. What lies below a query's ``floor`` is not among them."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.floor = k, np.full(n, -np.inf)
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
+        self.k, self.floor = k, np.full(n, -np.inf) if floor is None else floor.copy()
         self.at, self.s, self.v = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
 
-    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of all queries (rows) and some ids (columns). What lies below a query's k-th best, here or so far, is not sorted."""
+    def add(self, s: np.ndarray, ids: np.ndarray, among: np.ndarray | None = None) -> None:
+        """Scores of all queries (rows) and some ids (columns), -inf but for those ``among``, if that is given. What lies below a query's k-th best, here or so far, is not sorted."""
         floor, n = self.floor, s.shape[1]
         if n > self.k and np.isinf(floor).any():
             floor = np.fmax(floor, np.partition(s, n - self.k, axis=1)[:, n - self.k])
-        q, c = np.nonzero(~(s < floor[:, None]))
+        q, c = np.nonzero(~(s < floor[:, None]) if among is None else ~(s < floor[:, None]) & among)
         at, s, v = np.concatenate([self.at, q]), np.concatenate([self.s, s[q, c]]), np.concatenate([self.v, ids[c]])
         order = np.lexsort((v, -s, at))
         at, s, v = at[order], s[order], v[order]

@@ -64,6 +64,29 @@ def test_grouped_vectors_are_found_in_few_cells(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_what_leaves_tasks_is_bounded(spark, monkeypatch):
+    """Vectors in all directions alike go to many cells; what is ranked is still a few hits of each query and task, not all of a cell's."""
+    rng = np.random.default_rng(9)
+    n, size = 6000, 16
+    v = rng.normal(size=(n, size))
+    vecs = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": (v / np.linalg.norm(v, axis=1)[:, None]).tolist()})).repartition(6)
+    queries = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    path, ranked, best = scratch(spark, "vectors"), [], vector_index.best
+
+    def counted(rows, k):
+        ranked.append((rows.count(), k))
+        return best(rows, k)
+
+    monkeypatch.setattr(vector_index, "best", counted)
+    model = vector_index.fitted(vecs)
+    vector_index.build(vecs, model, path)
+    got = hits(vector_index.search(path, queries, vecs, certified=True))
+    assert model.probes > len(model.centroids) / 4 and got == hits(vectors.similar(queries, vecs))
+    assert all(rows <= 300 * 160 * 2 for rows, _ in ranked), ranked
+    # The last ranking has little but the hits themselves.
+    assert ranked[-1][0] <= 300 * 20 * 2, ranked
+
+
 def test_odd_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(900)]
