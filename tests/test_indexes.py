@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.operators import postings, vector_index, vectors
+from sparkloom.plans import answers
 from sparkloom.session import scratch, table
 
 BIG = 2**53
@@ -87,6 +88,21 @@ def test_what_leaves_tasks_is_bounded(spark, monkeypatch):
     assert ranked[-1][0] <= 300 * 20 * 2, ranked
 
 
+def test_query_through_the_index_keeps_the_best_by_codes(spark, sf_dir, monkeypatch):
+    """Cells are smaller than what a query fetches: a task still gives no more than that of each query."""
+    ranked, best = [], vector_index.best
+
+    def counted(rows, k):
+        ranked.append((rows.count(), k))
+        return best(rows, k)
+
+    monkeypatch.setattr(vector_index, "best", counted)
+    got = hits(answers.knn_index_top20(spark, sf_dir))
+    n = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").count()
+    assert ranked[0][1] == 160 and ranked[0][0] <= n * 160, ranked
+    assert recall(got, hits(answers.knn_top20(spark, sf_dir))) >= 0.95
+
+
 def test_odd_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(900)]
