@@ -16,6 +16,8 @@ PLACES = 6
 TOP_CHILDREN, TOP_PARENTS, CONTEXT_CHARS = 20, 10, 3000
 SHARE_OF_BEST, LEAST_SCORE = 0.3, 0.009
 QUERY_BLOCK = 4096
+#: Queries that are ranked at once in a task.
+ROWS = 256
 
 
 def hashed_embedding(text: str | None, size: int = 64) -> np.ndarray:
@@ -46,18 +48,27 @@ class Best:
         self.at, self.s, self.v = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
 
     def add(self, s: np.ndarray, ids: np.ndarray, among: np.ndarray | None = None) -> None:
-        """Scores of all queries (rows) and some ids (columns), -inf but for those ``among``, if that is given. What lies below a query's k-th best, here or so far, is not sorted."""
-        floor, n = self.floor, s.shape[1]
-        if n > self.k and np.isinf(floor).any():
-            floor = np.fmax(floor, np.partition(s, n - self.k, axis=1)[:, n - self.k])
-        q, c = np.nonzero(~(s < floor[:, None]) if among is None else ~(s < floor[:, None]) & among)
-        at, s, v = np.concatenate([self.at, q]), np.concatenate([self.s, s[q, c]]), np.concatenate([self.v, ids[c]])
-        order = np.lexsort((v, -s, at))
-        at, s, v = at[order], s[order], v[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        last, kept = (place == self.k - 1) & ~np.isnan(s), place < self.k
-        self.floor[at[last]] = s[last]
-        self.at, self.s, self.v = at[kept], s[kept], v[kept]
+        """Scores of all queries (rows) and some ids (columns), -inf but for those ``among``, if that is given. What lies below a query's k-th best, here or so far, is not sorted.
+
+        ``ROWS`` queries at a time: where all ids tie, as those of copies do, all are sorted.
+        """
+        n, kept = s.shape[1], []
+        for a in range(0, len(self.floor), ROWS):
+            own, held = slice(a, a + ROWS), slice(*np.searchsorted(self.at, (a, a + ROWS)))
+            floor = self.floor[own]
+            if n > self.k and np.isinf(floor).any():
+                floor = np.fmax(floor, np.partition(s[own], n - self.k, axis=1)[:, n - self.k])
+            over = ~(s[own] < floor[:, None])
+            q, c = np.nonzero(over if among is None else over & among[own])
+            at, scores, v = np.concatenate([self.at[held], q + a]), np.concatenate([self.s[held], s[q + a, c]]), np.concatenate([self.v[held], ids[c]])
+            order = np.lexsort((v, -scores, at))
+            at, scores, v = at[order], scores[order], v[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            last, first = (place == self.k - 1) & ~np.isnan(scores), place < self.k
+            self.floor[at[last]] = scores[last]
+            kept.append((at[first], scores[first], v[first]))
+        if kept:
+            self.at, self.s, self.v = (np.concatenate(x) for x in zip(*kept, strict=True))
 
 
 def query_blocks(held: DataFrame) -> Iterator[list]:

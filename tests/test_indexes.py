@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,58 @@ def test_query_through_the_index_keeps_the_best_by_codes(spark, sf_dir, monkeypa
     assert recall(got, hits(answers.knn_top20(spark, sf_dir))) >= 0.95
 
 
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_ranking_ties_takes_bounded_memory():
+    """Copies of one vector score alike, so all of them are sorted: for some queries at a time."""
+    n = 2048
+    scores, ids, among = np.zeros((n, n)), np.arange(n)[::-1].copy(), np.ones((n, n), bool)
+    best = vectors.Best(n, 160)
+    assert peak(lambda: best.add(scores, ids, among)) < 150
+    assert len(best.at) == n * 160 and (best.v.reshape(n, 160) == np.arange(160)).all()
+
+
+def test_ranking_in_parts_is_ranking_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    n, k = 700, 9
+    steps = [(rng.integers(0, 12, (n, m)).astype(float), rng.permutation(10_000)[:m], rng.random((n, m)) < share) for m, share in ((40, 1), (5, 0.3), (60, 0.1), (1, 1))]
+    want = []
+    for q in range(n):
+        pairs = [(-s[q, c], ids[c]) for s, ids, among in steps for c in np.flatnonzero(among[q])]
+        want += [(q, -s, v) for s, v in sorted(pairs)[:k]]
+    for rows in (1, 256, 700, 1000):
+        monkeypatch.setattr(vectors, "ROWS", rows)
+        best = vectors.Best(n, k)
+        for s, ids, among in steps:
+            best.add(np.where(among, s, -np.inf), ids, among)
+        assert list(zip(best.at.tolist(), best.s.tolist(), best.v.tolist(), strict=True)) == want
+
+
+def test_queries_meet_cells_a_few_at_a_time():
+    """What a batch of queries is held against has a column for each cell, up to 4,096 of them."""
+    v = pa.array(np.arange(3000.0).reshape(1000, 3).tolist(), pa.list_(pa.float64()))
+    got = list(vector_index.few(iter([pa.RecordBatch.from_arrays([v], names=["q"])])))
+    assert max(x.num_rows for x in got) <= vectors.ROWS
+    assert (np.concatenate([vector_index.matrix(x.column("q")) for x in got]) == np.arange(3000.0).reshape(1000, 3)).all()
+
+
+def test_a_sample_is_drawn_without_ranking_the_table(spark):
+    vecs = spark.range(50_000, numPartitions=5).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("vec_id"), F.array(F.rand(3), F.rand(4)).alias("v"))
+    order = F.xxhash64("vec_id", "v")
+    few = vector_index.narrowed(vecs, 50_000, 2000)
+    assert 2000 <= few.count() < 3000
+    drawn = lambda x: [tuple(r.v) for r in x.orderBy(order).limit(2000).collect()]
+    assert drawn(few) == drawn(vecs)
+    assert vector_index.narrowed(vecs.limit(100), 100, 2000).count() == 100
+
+
 def test_odd_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(900)]
